@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("splits", "terms", "spans", "capping", "pieces", "packing", "leaks", "repeats")
+MODULES = ("splits", "scans", "terms", "spans", "capping", "pieces", "packing", "leaks", "repeats")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
