@@ -1,3 +1,4 @@
 """DuckDB SQL by query name."""
 
-ORACLE_SQL: dict[str, str] = {}
+from versloom.plans import queries  # noqa: F401
+from versloom.plans.registry import ORACLE_SQL  # noqa: F401

@@ -1,3 +1,4 @@
-"""Queries by name."""
+"""All queries over the test tables by name."""
 
-QUERIES: dict = {}
+from versloom.plans import segment_queries, text_queries  # noqa: F401
+from versloom.plans.registry import QUERIES  # noqa: F401
