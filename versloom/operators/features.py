@@ -14,13 +14,13 @@ from versloom.functions import text as X
 from versloom.functions.wordlists import FUNCTION_WORDS
 
 
-def word_slots(df: DataFrame, words: list[str], profile: str = "slots") -> DataFrame:
-    """(slot, word) for each slot of ``words``: every slot, the distinct words, or only the last slot of each word."""
+def word_slots(words: list[str], profile: str = "slots") -> Column:
+    """Array of (slot, word) for each slot of ``words``: every slot, the distinct words, or only the last slot of each word."""
     if profile not in ("slots", "distinct", "last"):
         raise ValueError("profile is slots, distinct or last")
     last = {w: i for i, w in enumerate(words)}
     rows = [(i, w) for i, w in enumerate(words) if profile == "slots" or (profile == "last" and last[w] == i) or (profile == "distinct" and words.index(w) == i)]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, "slot int, word string"))  # as long as the list
+    return F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(w).alias("word")) for i, w in rows])
 
 
 def word_profile(df: DataFrame, units: list[str], text: str, words: list[str] | None = None, tokenizer: str = "letters", profile: str = "slots") -> DataFrame:
@@ -40,7 +40,7 @@ def word_profile(df: DataFrame, units: list[str], text: str, words: list[str] |
     totals = base.groupBy(*units).agg(F.sum("_total").alias("total"))
     listed = F.filter("_tokens", lambda t: t.isin(own))
     counts = base.select(*units, F.explode(listed).alias("word")).groupBy(*units, "word").agg(F.count(F.lit(1)).alias("n"))
-    grid = totals.crossJoin(word_slots(df, words, profile))  # units by the fixed list
+    grid = totals.withColumn("_s", F.explode(word_slots(words, profile))).select(*units, "total", "_s.slot", "_s.word")
     same = [F.col(f"g.{u}").eqNullSafe(F.col(f"c.{u}")) for u in units] + [F.col("g.word") == F.col("c.word")]
     joined = grid.alias("g").join(counts.alias("c"), same, "left")
     n = F.coalesce(F.col("c.n"), F.lit(0))
