@@ -30,11 +30,12 @@ def rank_in_contributor(df: DataFrame, contributor: str, score: str, item: str,
     three (repeated rows) get different places in an undefined order. Rows with
     a null ``contributor`` form one contributor of their own; callers that
     exempt them filter before. An empty table gives an empty table. Other
-    columns are kept as they are.
+    columns are kept as they are; one named ``out`` is replaced.
     """
     s = F.when(F.isnan(F.col(score).cast("double")), F.lit(None)).otherwise(F.col(score).cast("double"))
     key = F.coalesce(F.concat(F.lit("="), F.col(contributor).cast("string")), F.lit(""))
-    ordered = range_sorted(df.withColumns({"_key": key, "_score": s}), [F.col("_key").asc(), F.col("_score").desc_nulls_last(), F.col(item).asc_nulls_last()])
+    base = df.select(F.struct(*df.columns).alias("_row"), key.alias("_key"), s.alias("_score"), F.col(item).alias("_item"))
+    ordered = range_sorted(base, [F.col("_key").asc(), F.col("_score").desc_nulls_last(), F.col("_item").asc_nulls_last()])
     # what is collected: one row a partition
     bounds = partition_table(ordered, F.min_by("_key", "_at").alias("first"), F.max_by("_key", "_at").alias("last"))
     tails = {r["_part"]: r["tail"] for r in ordered.join(F.broadcast(ordered.sparkSession.createDataFrame([(r["_part"], r["last"]) for r in bounds], "_part int, _key string")), ["_part", "_key"]).groupBy("_part").agg(F.min("_at").alias("tail")).collect()} if bounds else {}
@@ -46,8 +47,7 @@ def rank_in_contributor(df: DataFrame, contributor: str, score: str, item: str,
         if not (r["last"] == under_way[0] and r["first"] == r["last"]):
             under_way = (r["last"], offset + tails[r["_part"]])
         offset += r["n"]
-    schema = T.StructType([*[f for f in ordered.schema.fields if f.name not in ("_key", "_score", "_part", "_at")], T.StructField(out, T.LongType())])
-    keep = [f.name for f in schema.fields[:-1]]
+    schema = T.StructType([ordered.schema["_row"], T.StructField("_place", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -70,15 +70,15 @@ def rank_in_contributor(df: DataFrame, contributor: str, score: str, item: str,
                 starts = np.maximum.accumulate(np.where(fresh, at, -1))
                 starts = np.where(starts < 0, start_now, starts)
                 key_now, start_now = keys[-1].as_py(), int(starts[-1])
-                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], pa.array(at - starts, pa.int64())], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([piece.column("_row"), pa.array(at - starts, pa.int64())], names=["_row", "_place"])
 
-    return ordered.mapInArrow(place, schema)
+    return ordered.mapInArrow(place, schema).select(*[F.col("_row")[c].alias(c) for c in df.columns if c != out], F.col("_place").alias(out))
 
 
 def cap_contributors(df: DataFrame, contributor: str, score: str, item: str, max_count: int | None = None, max_share: float | None = None) -> DataFrame:
     """``df`` with ``kept``: whether the row is among the best its ``contributor`` may keep.
 
-    The limit is ``max_count`` rows, or ``max_share`` of all rows (rounded
+    A column ``kept`` of ``df`` is replaced. The limit is ``max_count`` rows, or ``max_share`` of all rows (rounded
     down), or the smaller of both. Rows without a contributor are not limited.
     See :func:`rank_in_contributor` for nulls, ties and repeated rows.
     """
@@ -89,9 +89,9 @@ def cap_contributors(df: DataFrame, contributor: str, score: str, item: str, max
         by_share = int(df.count() * max_share)
         cap = by_share if cap is None else min(cap, by_share)
     named = df.where(F.col(contributor).isNotNull())
-    ranked = rank_in_contributor(named, contributor, score, item, "_place")
+    ranked = rank_in_contributor(named, contributor, score, item, "kept")
     free = df.where(F.col(contributor).isNull()).withColumn("kept", F.lit(True))
-    return ranked.withColumn("kept", F.col("_place") < cap).drop("_place").unionByName(free)
+    return ranked.withColumn("kept", F.col("kept") < cap).unionByName(free)
 
 
 def scored_blocks(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,35 +114,36 @@ def split_oversized(df: DataFrame, text: str, limit: int = 1200, overlap: int =
     if measure not in MEASURES:
         raise ValueError(f"measure is one of {MEASURES}")
     added = T.StructType().add("piece_no", "integer").add("first_word", "integer").add("n_words", "integer").add("cut", "string").add("longest_stretch", "integer").add("piece", "string")
-    kept = [f for f in df.schema.fields if f.name not in added.names or f.name == text]
-    carried = [f.name for f in kept if f.name != text]
+    names = [c for c in df.columns if c not in added.names and c != text]
+    row = F.struct(*names).alias("_row") if names else F.struct(F.lit(1).alias("_none")).alias("_row")
     n = F.regexp_count(F.col(text), F.lit(r"(?U)\S+")) if measure == "words" else F.octet_length(text)
-    large = F.coalesce(n > limit, F.lit(False))
-    schema = T.StructType([*[f for f in kept if f.name != text], *added.fields])
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for lo in range(0, len(frame), 64):
-                part = frame.iloc[lo : lo + 64]
-                rows, at = [], []
-                for i, t in enumerate(part[text]):
+    source = df.select(row, F.col(text).cast("string").alias("_text"), F.coalesce(n > limit, F.lit(False)).alias("_large"))
+    schema = T.StructType([source.schema["_row"], *added.fields])
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                at, rows = [], []
+                for i, t in enumerate(part.column("_text").to_pylist()):
                     longest = longest_stretch(t)
-                    own = pieces_of(t, limit, overlap, measure)
-                    rows += [x | {"longest_stretch": longest} for x in own]
-                    at += [i] * len(own)
-                new = pd.DataFrame(rows, columns=added.names)
-                yield pd.concat([part[carried].iloc[at].reset_index(drop=True), new], axis=1)
-
-    source = df.select(*[f.name for f in kept])
-    out = source.where(large).mapInPandas(cut, schema)
+                    for x in pieces_of(t, limit, overlap, measure):
+                        at.append(i)
+                        rows.append((x["piece_no"], x["first_word"], x["n_words"], x["cut"], longest, x["piece"]))
+                if rows:
+                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column("_row").take(pa.array(at)), *columns], names=schema.names)
+
+    out = source.where("_large").select("_row", "_text").mapInArrow(cut, schema)
     if keep_small:
-        words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"(?U)\S+")), F.lit(0))
-        small = source.where(~large).select(
-            *carried, F.lit(0).alias("piece_no"), F.lit(0).alias("first_word"), words.cast("int").alias("n_words"),
-            F.lit("end").alias("cut"), F.lit(None).cast("int").alias("longest_stretch"), F.col(text).alias("piece"),
+        words = F.coalesce(F.regexp_count("_text", F.lit(r"(?U)\S+")), F.lit(0))
+        small = source.where("NOT _large").select(
+            "_row", F.lit(0).alias("piece_no"), F.lit(0).alias("first_word"), words.cast("int").alias("n_words"),
+            F.lit("end").alias("cut"), F.lit(None).cast("int").alias("longest_stretch"), F.col("_text").alias("piece"),
         )
         out = out.unionByName(small)
-    return out
+    return out.select(*[F.col("_row")[c].alias(c) for c in names], *added.names)
 
 
 def oversized_blocks(spark: SparkSession, folder: str, limit: int = 1200) -> DataFrame:

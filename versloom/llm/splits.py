@@ -93,7 +93,8 @@ def assign_splits(components: DataFrame, sizes: DataFrame, proportions: dict[str
     outcome depends on names and sizes only.
     """
     proportions = proportions or PROPORTIONS
-    per = components.join(sizes, "node", "left").groupBy("component").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.first("splits").alias("splits"))
+    sizes = sizes.groupBy("node").agg(F.sum("n").alias("n"))
+    per = components.select("node", "component", "splits").join(sizes, "node", "left").groupBy("component").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.first("splits").alias("splits"))
     known = F.size("splits")
     status = F.when((known > 1) | F.array_contains("splits", QUARANTINE), "quarantined").when(known == 1, "kept").otherwise("new")
     split = F.when(F.col("status") == "quarantined", QUARANTINE).when(F.col("status") == "kept", F.col("splits")[0])
