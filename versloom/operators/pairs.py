@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def _unit_vectors(df: DataFrame, vector: str) -> DataFrame:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return df.withColumn("_norm", norm).where("_norm > 0").withColumn("_u", F.transform(vector, lambda x: x.cast("double") / F.col("_norm")))
+    return df.withColumn("_norm", norm).where("_norm > 0").withColumn("_u", F.transform(vector, lambda x: F.try_divide(x.cast("double"), F.col("_norm"))))
 
 
 def cosine_moments(df: DataFrame, label: str, vector: str) -> DataFrame:

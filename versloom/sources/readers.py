@@ -112,7 +112,7 @@ def prompts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, prompt, version, purpose): the fenced block under "## Prompt Text" of Markdown files, and two labelled lines."""
     body = F.regexp_extract(text, r"(?s)## Prompt Text\s*```[a-z]*\n(.*?)```", 1)
     label = lambda name: F.regexp_extract(text, rf"\*\*{name}:?\*\*:?\s*([^\n]+)", 1)
-    return texts.select(key, F.when(body != "", F.trim(body)).alias("prompt"), label("Version").alias("version"), label("Purpose").alias("purpose"))
+    return texts.select(key, F.when(body != "", F.regexp_replace(body, r"^\s+|\s+$", "")).alias("prompt"), label("Version").alias("version"), label("Purpose").alias("purpose"))
 
 
 def prompt_catalogue(spark: SparkSession, folder: str) -> DataFrame:
