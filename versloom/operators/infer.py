@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from versloom.operators.positions import with_running_total
+
 
 def _order(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
@@ -71,8 +73,11 @@ def max_statistic(null: DataFrame, observed: DataFrame, variant: str, score: str
 def bootstrap_draws(units: DataFrame, unit: str, n: int, part: list[str] | None = None, seed: int = 42) -> DataFrame:
     """(boot_id, part, draw, unit): as many draws with replacement as units, within each part."""
     part = part or []
-    w = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-    placed = units.select(unit, *part).withColumns({"_place": F.row_number().over(w.orderBy(unit)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    if part:
+        w = Window.partitionBy(*part)
+        placed = units.select(unit, *part).withColumns({"_place": F.row_number().over(w.orderBy(unit)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    else:  # places in a global order, without a window over everything
+        placed = with_running_total(units.select(unit).withColumn("_one", F.lit(1)), [F.col(unit)], "_one", "_place").withColumn("_n", F.lit(units.count())).drop("_one")
     r = replicates(placed, n, "boot_id")
     pick = F.pmod(F.conv(F.substring(_order(seed, F.col("boot_id"), *[F.col(p) for p in part], F.col("_place")), 1, 12), 16, 10).cast("long"), F.col("_n"))
     drawn = r.select("boot_id", *part, F.col("_place").alias("draw"), pick.alias("_place"))

@@ -16,18 +16,29 @@ def delta_distances(features: DataFrame, unit: str, label: str, slot: str, value
 
     For each held-out unit the features are standardised with the mean and
     sample deviation of the others (0 counts as 1); a class is the mean of its
-    standardised other units; Delta is the mean absolute difference. The pairs
-    of folds and training units are made once, on the features of units, which
-    are aggregates; texts are long gone.
+    standardised other units; Delta is the mean absolute difference. A class
+    whose only member is held out is no candidate.
+
+    The mean cancels in the difference of two standardised values, and the sums
+    of the others are those of all less the unit's own, taken around the mean
+    of the slot so that no digits are lost: the work is units by classes by
+    slots, and no pairs of units are made.
     """
-    f = features.select(F.col(unit).alias("u"), F.col(label).alias("l"), F.col(slot).alias("s"), F.col(value).cast("double").alias("v"))
-    held = f.select(F.col("u").alias("unit"), F.col("l").alias("truth"), "s", F.col("v").alias("own"))
-    pairs = held.join(f, "s").where("unit != u")
-    stats = pairs.groupBy("unit", "truth", "s", "own").agg(F.avg("v").alias("mu"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd0"))
-    stats = stats.withColumn("sd", F.when(F.col("sd0") == 0, 1.0).otherwise(F.col("sd0"))).drop("sd0")
-    centre = pairs.groupBy("unit", "s", "l").agg(F.avg("v").alias("c"))
-    z = centre.join(stats, ["unit", "s"]).withColumn("d", F.abs((F.col("own") - F.col("mu")) / F.col("sd") - (F.col("c") - F.col("mu")) / F.col("sd")))
-    return z.groupBy("unit", "truth", F.col("l").alias("label")).agg(F.avg("d").alias("delta"))
+    f = features.select(F.col(unit).alias("unit"), F.col(label).alias("truth"), F.col(slot).alias("s"), F.col(value).cast("double").alias("v"))
+    means = f.groupBy("s").agg(F.avg("v").alias("m"))
+    x = f.join(means, "s").withColumn("x", F.col("v") - F.col("m")).drop("v", "m")
+    every = x.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum"), F.sum(F.col("x") * F.col("x")).alias("squares"))
+    classes = x.groupBy("s", F.col("truth").alias("label")).agg(F.count(F.lit(1)).alias("k"), F.sum("x").alias("class_sum"))
+    n, rest = F.col("n") - 1, F.col("sum") - F.col("x")
+    left = F.col("squares") - F.col("x") * F.col("x")
+    var = F.when(n > 1, (left - rest * rest / n) / (n - 1))
+    # what is left of a feature without variance is rounding: far below the size of its squares
+    sd = F.when(var > 1e-24 + 1e-13 * F.col("squares"), F.sqrt(var)).otherwise(1.0)
+    own = F.col("truth") == F.col("label")
+    k = F.when(own, F.col("k") - 1).otherwise(F.col("k"))
+    centre = (F.col("class_sum") - F.when(own, F.col("x")).otherwise(0.0)) / F.when(k > 0, k)
+    z = x.join(every.where("n > 1"), "s").withColumn("sd", sd).join(classes, "s").where(k > 0).withColumn("d", F.abs(F.col("x") - centre) / F.col("sd"))
+    return z.groupBy("unit", "truth", "label").agg(F.avg("d").alias("delta"))
 
 
 def nearest(distances: DataFrame, unit: str, truth: str, label: str, distance: str, decimals: int = 12) -> DataFrame:
@@ -195,3 +206,48 @@ def logistic_model(df: DataFrame, features: str, label: str, c: float = 1.0, wei
     total = df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
     lr = LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", regParam=1.0 / (c * float(total)), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
     return (lr.setWeightCol(weight) if weight else lr).fit(df)
+
+
+def top_slots_by_fold(features: DataFrame, unit: str, slot: str, value: str, k: int) -> DataFrame:
+    """(unit, slot): for each held-out unit the ``k`` slots with the highest mean over the others; equal means go by slot."""
+    f = features.select(F.col(unit).alias("unit"), F.col(slot).alias("slot"), F.col(value).cast("double").alias("v"))
+    sums = f.groupBy("slot").agg(F.sum("v").alias("t"), F.count(F.lit(1)).alias("n"))
+    rest = f.join(sums, "slot").where("n > 1").withColumn("m", F.round((F.col("t") - F.col("v")) / (F.col("n") - 1), 10))
+    w = Window.partitionBy("unit").orderBy(F.desc("m"), "slot")
+    return rest.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("unit", "slot")
+
+
+def arrangements_of(labels: list[str], most: int = 100_000) -> list[tuple[str, ...]]:
+    """Every distinct arrangement of ``labels`` in order; an error if there are more than ``most``."""
+    from versloom.functions.statistics import arrangements
+
+    counts = {k: labels.count(k) for k in sorted(set(labels))}
+    if (n := arrangements(list(counts.values()))) > most:
+        raise ValueError(f"{n} arrangements: draw permutations instead")
+    out: list[tuple[str, ...]] = []
+
+    def place(left: dict[str, int], made: tuple[str, ...]) -> None:
+        if len(made) == len(labels):
+            out.append(made)
+        for k, c in left.items():
+            if c:
+                place(left | {k: c - 1}, (*made, k))
+
+    place(counts, ())
+    return out
+
+
+def forest_importance(df: DataFrame, features: str, label: str, trees: int = 100, seed: int = 42) -> list[float]:
+    """Impurity importance of each feature in a random forest."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    model = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, seed=seed).fit(df)
+    return [float(v) for v in model.featureImportances.toArray()]
+
+
+def linear_svm(df: DataFrame, features: str, label: str, c: float = 1.0):
+    """One-against-rest linear support vector machines (hinge loss)."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+
+    svm = LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * df.count()), maxIter=20)
+    return OneVsRest(classifier=svm, featuresCol=features, labelCol=label).fit(df)

@@ -58,11 +58,16 @@ def cosine_extremes(df: DataFrame, item: str, label: str, vector: str, block: in
 
 
 def sampled_pairs(df: DataFrame, item: str, label: str, vector: str, n: int, same: bool, seed: int = 42) -> DataFrame:
-    """(a, b, distance): pairs with equal or different labels, one for each item: its partner is the n-th next by hash, so that the pairs are linear in the rows."""
+    """(a, b, distance): pairs with equal or different labels, at most one for each item.
+
+    The partner is the n-th next by hash within the label or, for different
+    labels, within a sixteenth of all items by hash: the pairs are linear in
+    the rows and no task holds them all.
+    """
     from pyspark.sql import Window
 
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(item).cast("string")))
-    w = Window.partitionBy(label).orderBy(h, item) if same else Window.partitionBy(F.pmod(F.xxhash64(item), F.lit(64)) * 0).orderBy(h, item)
+    w = Window.partitionBy(label).orderBy(h, item) if same else Window.partitionBy(F.substring(h, 1, 1)).orderBy(h, item)
     u = _unit_vectors(df, vector)
     nxt = u.select(F.col(item).alias("a"), F.col(label).alias("la"), F.col("_u").alias("x"), F.lead(item, n).over(w).alias("b"), F.lead(label, n).over(w).alias("lb"), F.lead("_u", n).over(w).alias("y"))
     kept = nxt.where(F.col("b").isNotNull() & ((F.col("la") == F.col("lb")) == F.lit(same)))

@@ -310,3 +310,28 @@ def floor_lookup(df: DataFrame, bounds: DataFrame, keys: list[str], at: str, sta
 def column_flags(df: DataFrame, **flags: Column) -> DataFrame:
     """``df`` with boolean columns, false where the condition is unknown."""
     return df.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
+
+
+def merged_segments(df: DataFrame, keys: list[str], order: list[str], voice: str, words: str, least: int = 500) -> DataFrame:
+    """(keys, segment, voice, n_rows, words): rows in order; one below ``least`` words joins the segment before if that has its voice, else the next of its voice that follows at once."""
+    schema = T.StructType([df.schema[k] for k in keys]).add("segment", "integer").add("voice", "string").add("n_rows", "integer").add("words", "long")
+
+    def start():
+        return {"no": 0, "open": None}
+
+    def step(s, r):
+        n, v, b = int(r[words] or 0), r[voice], s["open"]
+        if b and b[0] == v and (n < least or b[2] < least):
+            b[1], b[2] = b[1] + 1, b[2] + n
+            return []
+        out = finish(s, tuple(r[k] for k in keys))
+        s["open"] = [v, 1, n]
+        return out
+
+    def finish(s, key):
+        if not s["open"]:
+            return []
+        s["no"] += 1
+        return [(*key, s["no"], *s["open"])]
+
+    return ordered_fold(df.select(*dict.fromkeys([*keys, *order, voice, words])), keys, order, start, step, finish, schema)

@@ -286,7 +286,7 @@ def cosine_extremes(spark, d):
 
 @query("""
 WITH h AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, md5('42|' || vec_id) AS h FROM embeddings), n AS (SELECT e, lead(e) OVER w AS e2, lead(vec_id) OVER w AS b FROM h WINDOW w AS (PARTITION BY label ORDER BY h, vec_id)),
-m AS (SELECT e, label, lead(e) OVER w AS e2, lead(label) OVER w AS l2, lead(vec_id) OVER w AS b FROM h WINDOW w AS (ORDER BY h, vec_id))
+m AS (SELECT e, label, lead(e) OVER w AS e2, lead(label) OVER w AS l2, lead(vec_id) OVER w AS b FROM h WINDOW w AS (PARTITION BY substr(h, 1, 1) ORDER BY h, vec_id))
 SELECT 'same' AS kind, count(*) AS pairs, round(avg(1 - list_cosine_similarity(e, e2)), 6) AS mean, round(stddev_pop(1 - list_cosine_similarity(e, e2)), 6) AS sd FROM n WHERE b IS NOT NULL
 UNION ALL SELECT 'different', count(*), round(avg(1 - list_cosine_similarity(e, e2)), 6), round(stddev_pop(1 - list_cosine_similarity(e, e2)), 6) FROM m WHERE b IS NOT NULL AND label <> l2
 """)
