@@ -45,8 +45,7 @@ def test_normal_forms(spark):
 def test_rules(spark):
     t = F.col("t")
     assert col(spark, X.first_name(t, ["liza", "voma"]), ["Voma and Liza", "none", None]) == ["liza", None, None]
-    flags = X.discourse(t, X.first_name(t, ["liza"]))
-    got = spark.createDataFrame([("And Liza said, come",), ("amen.",), (None,)], "t string").select(*[c.alias(k) for k, c in flags.items()]).collect()
+    got = X.with_discourse(spark.createDataFrame([("And Liza said, come",), ("amen.",), (None,)], "t string"), "t", X.first_name(t, ["liza"])).collect()
     assert (got[0].embed_type, got[0].confidence, got[0].speaker) == ("EMBED_SPEECH", "HIGH", "liza")
     assert (got[1].embed_type, got[1].confidence) == ("NONE", "LOW")
     assert got[2].embed_type == "NONE"

@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,9 +144,23 @@ def first_rule(text: Column, rules: list[tuple[str, str]], default: str | None =
     return out
 
 
-def any_rule(text: Column, patterns: list[str]) -> Column:
-    """Whether one of ``patterns`` is found; false for null."""
-    return F.coalesce(text.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False))
+def any_rule(text: Column, rules: list[str | tuple[tuple[str, ...], str]]) -> Column:
+    """Whether one of ``rules`` is found; false for null.
+
+    A rule is a pattern, or literals and a pattern that can only be found where
+    the text holds one of them: the search for literals is far cheaper.
+    """
+    out = F.lit(False)
+    for rule in rules:
+        literals, pattern = rule if isinstance(rule, tuple) else ((), rule)
+        hit = text.rlike(pattern)
+        if literals:
+            some = F.contains(text, F.lit(literals[0]))
+            for w in literals[1:]:
+                some = some | F.contains(text, F.lit(w))
+            hit = some & hit
+        out = out | hit
+    return F.coalesce(out, F.lit(False))
 
 
 def first_name(text: Column, names: list[str], within: int = 80) -> Column:
@@ -159,33 +173,38 @@ def first_name(text: Column, names: list[str], within: int = 80) -> Column:
 _B, _E = r"(?:^|[^a-z0-9_])", r"(?:$|[^a-z0-9_])"
 DISCOURSE = {
     "speech_open": [
-        rf"{_B}(?:and|now) [a-z]+ (?:said|saith|spake|cried|answered){_E}",
-        rf"{_B}(?:began|did) to (?:say|teach|preach|speak){_E}",
-        rf"{_B}these are the words (?:of|which){_E}",
-        rf"{_B}saying ?[:;,]",
+        ((" said", " saith", " spake", " cried", " answered"), rf"{_B}(?:and|now) [a-z]+ (?:said|saith|spake|cried|answered){_E}"),
+        (("began to ", "did to "), rf"{_B}(?:began|did) to (?:say|teach|preach|speak){_E}"),
+        (("these are the words",), rf"{_B}these are the words (?:of|which){_E}"),
+        (("saying",), rf"{_B}saying ?[:;,]"),
+    ],
+    "speech_close": [
+        (("ended the ",), rf"{_B}(?:thus|now) ended the (?:words|sayings) of{_E}"),
+        (("had made an end", "had finished"), rf"{_B}had (?:made an end|finished){_E}"),
+        (("amen",), rf"{_B}amen{_E}"),
     ],
-    "speech_close": [rf"{_B}(?:thus|now) ended the (?:words|sayings) of{_E}", rf"{_B}had (?:made an end|finished){_E}", rf"{_B}amen{_E}"],
-    "document": [rf"{_B}an epistle{_E}", rf"{_B}it is written in the book of{_E}"],
-    "scripture": [rf"{_B}thus saith the lord{_E}", rf"{_B}according to the words of{_E}"],
-    "self": [rf"{_B}i, [a-z]+,", rf"{_B}i [a-z]+ (?:write|wrote) {_E}"],
-    "aside": [rf"{_B}and thus we see{_E}", rf"{_B}behold,? i (?:say|write|speak){_E}"],
+    "document": [(("an epistle",), rf"{_B}an epistle{_E}"), (("it is written in the book of",), rf"{_B}it is written in the book of{_E}")],
+    "scripture": [(("thus saith the lord",), rf"{_B}thus saith the lord{_E}"), (("according to the words of",), rf"{_B}according to the words of{_E}")],
+    "self": [(("i, ",), rf"{_B}i, [a-z]+,"), ((" write ", " wrote "), rf"{_B}i [a-z]+ (?:write|wrote) {_E}")],
+    "aside": [(("and thus we see",), rf"{_B}and thus we see{_E}"), (("behold i ", "behold, i "), rf"{_B}behold,? i (?:say|write|speak){_E}")],
 }
 
 
-def discourse(text: Column, speaker: Column, families: dict[str, list[str]] | None = None) -> dict[str, Column]:
-    """Flags, markers, type and confidence of embedded discourse.
+def with_discourse(df: DataFrame, text: str, speaker: Column, families: dict[str, list] | None = None) -> DataFrame:
+    """``df`` with flags, markers, type and confidence of embedded discourse.
 
-    One flag for each family; ``embed_type`` by precedence speech (unless the
-    narrator names itself), scripture, document; ``confidence`` HIGH for a
+    One flag has_… for each family; ``embed_type`` by precedence speech (unless
+    the narrator names itself), scripture, document; ``confidence`` HIGH for a
     narrator or a speech with a known ``speaker``, MEDIUM for other openings and
-    documents, LOW for a close without an opening, else HIGH.
+    documents, LOW for a close without an opening, else HIGH. Each pattern is
+    looked for once: later columns are made from the flags, not from the text.
     """
     families = families or DISCOURSE
-    low = F.regexp_replace(F.lower(text), r"\s+", " ")
-    flag = {name: any_rule(low, patterns) for name, patterns in families.items()}
-    speech = flag["speech_open"] & ~flag["self"]
-    kind = F.when(speech, "EMBED_SPEECH").when(flag["scripture"], "EMBED_SCRIPTURE").when(flag["document"], "EMBED_DOCUMENT").otherwise("NONE")
-    sure = F.when(flag["self"], "HIGH").when(flag["speech_open"] & speaker.isNotNull(), "HIGH").when(flag["speech_open"] | flag["document"], "MEDIUM")
-    sure = sure.when(flag["speech_close"], "LOW").otherwise("HIGH")
-    markers = F.array_join(F.array_compact(F.array(*[F.when(flag[n], n) for n in families])), ",")
-    return {f"has_{n}": c for n, c in flag.items()} | {"embed_type": kind, "confidence": sure, "markers": markers, "speaker": F.when(speech, speaker)}
+    low = df.withColumn("_low", F.regexp_replace(F.lower(text), r"\s+", " ")).withColumn("_speaker", speaker)
+    flagged = low.withColumns({f"has_{n}": any_rule(F.col("_low"), patterns) for n, patterns in families.items()})
+    speech = F.col("has_speech_open") & ~F.col("has_self")
+    kind = F.when(speech, "EMBED_SPEECH").when(F.col("has_scripture"), "EMBED_SCRIPTURE").when(F.col("has_document"), "EMBED_DOCUMENT").otherwise("NONE")
+    sure = F.when(F.col("has_self"), "HIGH").when(F.col("has_speech_open") & F.col("_speaker").isNotNull(), "HIGH").when(F.col("has_speech_open") | F.col("has_document"), "MEDIUM")
+    sure = sure.when(F.col("has_speech_close"), "LOW").otherwise("HIGH")
+    markers = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"has_{n}"), n) for n in families])), ",")
+    return flagged.withColumns({"embed_type": kind, "confidence": sure, "markers": markers, "speaker": F.when(speech, F.col("_speaker"))}).drop("_low", "_speaker")

@@ -109,30 +109,30 @@ def _at_least(k: int):
     return lambda x: x >= k
 
 
-def word_lengths(text: Column) -> dict[str, Column]:
-    """Mean and population deviation of the lengths of the tokens, and the percentage of each length 1 to 7 and above."""
-    sizes = F.transform(X.tokens_letters(text), F.length)
-    n = F.size(sizes)
-    total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
-    squares = F.aggregate(sizes, F.lit(0), lambda a, x: a + x * x)
-    some = n > 0
-    mean = F.when(some, total / F.when(some, n)).otherwise(0.0)
-    var = F.when(some, squares / F.when(some, n) - mean * mean).otherwise(0.0)
-    out = {"n_tokens": F.coalesce(n, F.lit(0)), "mean_length": mean, "sd_length": F.sqrt(F.greatest(var, F.lit(0.0)))}
-    for k in range(1, 9):
-        of_length = F.filter(sizes, _at_least(8) if k == 8 else _equal_to(k))
-        out[f"pct_{k}"] = F.when(some, F.size(of_length) / F.when(some, n) * 100).otherwise(0.0)
-    return out
-
-
-def sentence_profile(text: Column) -> dict[str, Column]:
-    """Number of sentences, mean words and mean characters of a sentence; 0 without any."""
-    s = X.sentences(text)
-    n = F.size(s)
-    words = F.aggregate(F.transform(s, lambda x: F.size(X.tokens_letters(x))), F.lit(0), lambda a, x: a + x)
-    chars = F.aggregate(F.transform(s, F.length), F.lit(0), lambda a, x: a + x)
-    some = n > 0
-    return {"n_sentences": F.coalesce(n, F.lit(0)), "mean_words": F.when(some, words / F.when(some, n)).otherwise(0.0), "mean_chars": F.when(some, chars / F.when(some, n)).otherwise(0.0)}
+def word_lengths(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the mean and population deviation of the lengths of the tokens, and the percentage of each length 1 to 7 and above; 0 without tokens."""
+    sized = df.withColumn("_z", F.coalesce(F.transform(X.tokens_letters(F.col(text)), F.length), F.array().cast("array<int>")))
+    add = lambda a, x: a + x
+    counts = {f"_{k}": F.size(F.filter("_z", _at_least(8) if k == 8 else _equal_to(k))) for k in range(1, 9)}
+    sums = sized.withColumns({"n_tokens": F.size("_z"), "_t": F.aggregate("_z", F.lit(0), add), "_q": F.aggregate("_z", F.lit(0), lambda a, x: a + x * x)} | counts)
+    n = F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
+    mean = F.coalesce(F.col("_t") / n, F.lit(0.0))
+    var = F.coalesce(F.col("_q") / n - mean * mean, F.lit(0.0))
+    out = {"mean_length": mean, "sd_length": F.sqrt(F.greatest(var, F.lit(0.0)))} | {f"pct_{k}": F.coalesce(F.col(f"_{k}") / n * 100, F.lit(0.0)) for k in range(1, 9)}
+    return sums.withColumns(out).drop("_z", "_t", "_q", *counts)
+
+
+def sentence_profile(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the number of sentences, mean words and mean characters of a sentence; 0 without any."""
+    add = lambda a, x: a + x
+    cut = df.withColumn("_s", F.coalesce(X.sentences(F.col(text)), F.array().cast("array<string>")))
+    sums = cut.withColumns({
+        "n_sentences": F.size("_s"),
+        "_w": F.aggregate(F.transform("_s", lambda x: F.size(X.tokens_letters(x))), F.lit(0), add),
+        "_c": F.aggregate(F.transform("_s", F.length), F.lit(0), add),
+    })
+    n = F.when(F.col("n_sentences") > 0, F.col("n_sentences"))
+    return sums.withColumns({"mean_words": F.coalesce(F.col("_w") / n, F.lit(0.0)), "mean_chars": F.coalesce(F.col("_c") / n, F.lit(0.0))}).drop("_s", "_w", "_c")
 
 
 def richness(df: DataFrame, unit: str, text: str) -> DataFrame:

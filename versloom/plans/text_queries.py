@@ -82,8 +82,8 @@ SELECT doc_id, n AS n_tokens, round(CASE WHEN n = 0 THEN 0.0 ELSE list_avg(z) EN
 {", ".join(f"round(CASE WHEN n = 0 THEN 0.0 ELSE len(list_filter(z, lambda x: x {'>=' if k == 8 else '='} {k})) / n * 100 END, 9) AS pct_{k}" for k in range(1, 9))} FROM m
 """)
 def word_length_dist(spark, d):
-    out = features.word_lengths(F.col("text"))
-    return _docs(spark, d).select("doc_id", *[c.alias(k) if k == "n_tokens" else F.round(c, 6 if k == "sd_length" else R).alias(k) for k, c in out.items()])
+    out = features.word_lengths(_docs(spark, d).select("doc_id", "text"), "text")
+    return out.select("doc_id", "n_tokens", F.round("mean_length", R).alias("mean_length"), F.round("sd_length", 6).alias("sd_length"), *[F.round(f"pct_{k}", R).alias(f"pct_{k}") for k in range(1, 9)])
 
 
 @query(f"""
@@ -92,8 +92,8 @@ u AS (SELECT doc_id, unnest(z) AS text FROM s), w AS (SELECT doc_id, sum(len({_T
 SELECT s.doc_id, coalesce(len(z), 0) AS n_sentences, round(coalesce(words / len(z), 0.0), 9) AS mean_words, round(coalesce(chars / len(z), 0.0), 9) AS mean_chars FROM s LEFT JOIN w USING (doc_id)
 """)
 def sentence_stats(spark, d):
-    out = features.sentence_profile(F.col("text"))
-    return _docs(spark, d).select("doc_id", *[c.alias(k) if k == "n_sentences" else F.round(c, R).alias(k) for k, c in out.items()])
+    out = features.sentence_profile(_docs(spark, d).select("doc_id", "text"), "text")
+    return out.select("doc_id", "n_sentences", F.round("mean_words", R).alias("mean_words"), F.round("mean_chars", R).alias("mean_chars"))
 
 
 @query(f"""
@@ -212,7 +212,7 @@ def period_by_genre(spark, d):
 
 
 def _rule_sql(family):
-    return "coalesce(regexp_matches(low, '" + "|".join(f"(?:{p})" for p in X.DISCOURSE[family]).replace("'", "''") + "'), false)"
+    return "coalesce(regexp_matches(low, '" + "|".join(f"(?:{p})" for _, p in X.DISCOURSE[family]).replace("'", "''") + "'), false)"
 
 
 _HEAD = f"list_filter({sql_list(_NAMES)}, lambda n: contains(lower(substr(text, 1, 80)), n))[1]"
@@ -226,8 +226,7 @@ CASE WHEN has_self THEN 'HIGH' WHEN has_speech_open AND name IS NOT NULL THEN 'H
 concat_ws(',', {", ".join(f"CASE WHEN has_{k} THEN '{k}' END" for k in X.DISCOURSE)}) AS markers, CASE WHEN has_speech_open AND NOT has_self THEN name END AS speaker FROM f
 """)
 def discourse_flags(spark, d):
-    name = X.first_name(F.col("text"), _NAMES)
-    return _docs(spark, d).select("doc_id", *[c.alias(k) for k, c in X.discourse(F.col("text"), name).items()])
+    return X.with_discourse(_docs(spark, d).select("doc_id", "text"), "text", X.first_name(F.col("text"), _NAMES)).drop("text")
 
 
 @query(f"SELECT doc_id, {_HEAD} AS speaker FROM documents")
