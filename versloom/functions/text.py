@@ -144,6 +144,11 @@ def first_rule(text: Column, rules: list[tuple[str, str]], default: str | None =
     return out
 
 
+def last_rule(text: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
+    """Name of the last rule whose pattern is found in ``text``: later rules override earlier ones."""
+    return first_rule(text, rules[::-1], default)
+
+
 def any_rule(text: Column, rules: list[str | tuple[tuple[str, ...], str]]) -> Column:
     """Whether one of ``rules`` is found; false for null.
 

@@ -335,3 +335,30 @@ def merged_segments(df: DataFrame, keys: list[str], order: list[str], voice: str
         return [(*key, s["no"], *s["open"])]
 
     return ordered_fold(df.select(*dict.fromkeys([*keys, *order, voice, words])), keys, order, start, step, finish, schema)
+
+
+def line_segments(lines: DataFrame, doc: str, number: str, line: str, size: int = 1000, bounds: DataFrame | None = None) -> DataFrame:
+    """(doc, segment, start_line, end_line, n_words, text[, book, spans_boundary]): texts in segments of ``size`` words that know their lines.
+
+    The last segment stays if it has at least half of ``size``; segments count
+    from 1. With ``bounds`` (doc, start, book) a segment belongs to the book of
+    its middle line, and ``spans_boundary`` says that its first and last lines
+    lie in different ones. Only line totals are summed along a text; words are
+    grouped by segment, never by text.
+    """
+    from versloom.functions.text import words_by_blanks
+
+    w = Window.partitionBy(doc).orderBy("_line").rowsBetween(Window.unboundedPreceding, -1)
+    counted = lines.select(doc, F.col(number).alias("_line"), words_by_blanks(F.coalesce(line, F.lit(""))).alias("_w"))
+    placed = counted.withColumn("_before", F.coalesce(F.sum(F.size("_w")).over(w), F.lit(0)))
+    words = placed.select(doc, "_line", "_before", F.posexplode("_w").alias("_p", "_word")).withColumn("_at", F.col("_before") + F.col("_p"))
+    by = words.groupBy(doc, (F.floor(F.col("_at") / size) + 1).cast("int").alias("segment"))
+    out = by.agg(F.min("_line").alias("start_line"), F.max("_line").alias("end_line"), F.count(F.lit(1)).cast("int").alias("n_words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_word"))), lambda x: x["_word"]), " ").alias("text"))
+    out = out.where(F.col("n_words") >= size // 2)
+    if bounds is None:
+        return out
+    middle = F.floor((F.col("start_line") + F.col("end_line")) / 2)
+    named = bounds.withColumnRenamed("book", "_book")
+    for name, at in (("_first", F.col("start_line")), ("_last", F.col("end_line")), ("book", middle)):
+        out = floor_lookup(out.withColumn("_mark", at), named, [doc], "_mark", "start", "_book", name).drop("_mark")
+    return out.withColumn("spans_boundary", ~F.col("_first").eqNullSafe(F.col("_last"))).drop("_first", "_last")

@@ -164,3 +164,48 @@ def pca_components(spark, d):
 
     model = PCA(k=5, inputCol="features", outputCol="pc").fit(_vectors(spark, d))
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.explainedVariance.toArray())], "component int, explained double")
+
+
+_LINES = "SELECT doc_id, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY scanned_at DESC) AS r FROM raw_lines) WHERE r = 1"
+
+
+@query(f"""
+WITH l AS ({_LINES}), w0 AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '\\s+'), lambda t: t <> '') AS w FROM l), w1 AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w0),
+w2 AS (SELECT doc_id, line_no, b + unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM w1), s AS (SELECT doc_id, CAST(pos // 200 + 1 AS INTEGER) AS segment, min(line_no) AS start_line, max(line_no) AS end_line, CAST(count(*) AS INTEGER) AS n_words, md5(string_agg(word, ' ' ORDER BY pos)) AS digest FROM w2 GROUP BY ALL HAVING count(*) >= 100),
+h AS (SELECT doc_id, line_no AS start, line AS book FROM l WHERE regexp_matches(line, '^CHAPTER [IVXLC]+\\.$')), m AS (SELECT *, (start_line + end_line) // 2 AS mid FROM s),
+a AS (SELECT m.*, h.book FROM m ASOF LEFT JOIN h ON m.doc_id = h.doc_id AND m.mid >= h.start), b AS (SELECT a.*, h.book AS b1 FROM a ASOF LEFT JOIN h ON a.doc_id = h.doc_id AND a.start_line >= h.start), c AS (SELECT b.*, h.book AS b2 FROM b ASOF LEFT JOIN h ON b.doc_id = h.doc_id AND b.end_line >= h.start)
+SELECT doc_id, segment, start_line, end_line, n_words, digest, book, b1 IS DISTINCT FROM b2 AS spans_boundary FROM c
+""")
+def line_segments(spark, d):
+    from versloom.plans.segment_queries import _HEADING, _lines
+
+    lines = staged(_lines(spark, d), "lines")
+    bounds = lines.where(F.col("line").rlike(_HEADING)).select("doc_id", F.col("line_no").alias("start"), F.col("line").alias("book"))
+    out = S.line_segments(lines, "doc_id", "line_no", "line", 200, bounds)
+    return out.select("doc_id", "segment", "start_line", "end_line", "n_words", F.md5("text").alias("digest"), "book", "spans_boundary")
+
+
+@query("""
+WITH u AS (SELECT event_type, user_id AS unit, avg(value) AS v FROM events GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY unit) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM u),
+k AS (SELECT boot_id, event_type, CAST('0x' || substr(md5('42|' || boot_id || '|' || event_type || '|' || place), 1, 12) AS BIGINT) % n AS place FROM p, (SELECT unnest(range(0, 20)) AS boot_id)), b AS (SELECT boot_id, avg(v) AS score FROM k JOIN p USING (event_type, place) GROUP BY boot_id)
+SELECT count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.05), 6) AS low, round(quantile_cont(score, 0.95), 6) AS high FROM b
+""")
+def stratified_bootstrap(spark, d):
+    from versloom.operators import infer as I
+
+    u = staged(table(spark, d, "events").groupBy("event_type", F.col("user_id").alias("unit")).agg(F.avg("value").alias("v")), "units")
+    b = I.bootstrap_draws(u, "unit", 20, ["event_type"]).join(u, ["event_type", "unit"]).groupBy("boot_id").agg(F.avg("v").alias("score"))
+    i = I.interval(b, [], "score", level=0.9)
+    return i.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+@query("SELECT CAST(floor((value - lo) / nullif(hi - lo, 0) * 10) AS INTEGER) AS b, count(*) AS n FROM (SELECT value, min(value) OVER () AS lo, max(value) OVER () AS hi FROM events WHERE value IS NOT NULL) WHERE value < hi GROUP BY 1")
+def histogram(spark, d):
+    """Ten equal bins; the maximum, which would be in the last, is left out to keep the SQL short."""
+    from versloom.sources.sinks import histogram as bins
+
+    e = table(spark, d, "events").where("value IS NOT NULL")
+    top = e.agg(F.max("value").alias("top"))
+    h = bins(e, "value", 10).select(F.col("bin").alias("b"), "n")
+    at_top = e.join(F.broadcast(top), F.col("value") == F.col("top")).agg(F.count(F.lit(1)).alias("k"))  # one row
+    return h.crossJoin(at_top).select("b", (F.col("n") - F.when(F.col("b") == 9, F.col("k")).otherwise(0)).alias("n")).where("n > 0")

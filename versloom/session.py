@@ -68,3 +68,24 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession, older_than_hours: float = 24.0) -> int:
+    """Deletes staged tables and stream positions older than that from the shared folder; how many were deleted.
+
+    Staged tables can't be deleted by the operators that write them: the
+    DataFrames they return are read later. Call this between jobs.
+    """
+    import time
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for part in ("tables", "streams"):
+        folder = jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), part))
+        fs = folder.getFileSystem(conf)
+        if not fs.exists(folder):
+            continue
+        for status in fs.listStatus(folder):
+            if status.getModificationTime() / 1000 < time.time() - older_than_hours * 3600:
+                gone += bool(fs.delete(status.getPath(), True))
+    return gone
