@@ -67,7 +67,7 @@ def merged_segments(spark, d):
 
 @query(f"""
 WITH {_UNITS}, sm AS (SELECT s, sum(v) AS sv, count(*) AS n FROM f GROUP BY s), rk AS (SELECT u, s, row_number() OVER (PARTITION BY u ORDER BY round((sv - v) / (n - 1), 10) DESC, s) AS r FROM f JOIN sm USING (s)) SELECT s AS slot, count(*) AS folds FROM rk WHERE r <= 50 GROUP BY s
-""")
+""", ints=("slot",))
 def fold_ranking(spark, d):
     """In how many folds each slot is among the 50 most frequent, ranked without the held-out unit."""
     top = L.top_slots_by_fold(_units(spark, d), "u", "s", "v", 50)

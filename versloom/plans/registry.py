@@ -8,14 +8,17 @@ QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None) -> Callable:
-    """Registers a function of a session and a folder under its name, with DuckDB SQL if the operator can be put so."""
+def query(sql: str | None = None, name: str | None = None, ints: tuple[str, ...] = ()) -> Callable:
+    """Registers a function of a session and a folder under its name, with DuckDB SQL if the operator can be put so.
+
+    ``ints`` names columns that are 32 bits wide here and 64 bits there.
+    """
 
     def register(f: Callable) -> Callable:
         key = name or f.__name__
         QUERIES[key] = f
         if sql:
-            ORACLE_SQL[key] = sql
+            ORACLE_SQL[key] = sql if not ints else f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in ints)}) FROM ({sql})"
         return f
 
     return register

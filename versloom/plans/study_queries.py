@@ -140,12 +140,12 @@ def _gap():
     return F.avg(F.when(F.col("label") == "original", F.col("score"))) - F.avg(F.when(F.col("label") != "original", F.col("score")))
 
 
-@query(f"WITH {_RUNSCORE}, {_perm_sql(False)} SELECT perm_id, unit, label FROM perms")
+@query(f"WITH {_RUNSCORE}, {_perm_sql(False)} SELECT perm_id, unit, label FROM perms", ints=("perm_id",))
 def perm_table_hash(spark, d):
     return I.permuted_labels(_scored_units(spark, d), "unit", "label", _B)
 
 
-@query(f"WITH {_RUNSCORE}, {_perm_sql(True)} SELECT perm_id, count(*) AS n, count(*) FILTER (perms.label = u.label) AS unmoved FROM perms JOIN u USING (unit) GROUP BY perm_id")
+@query(f"WITH {_RUNSCORE}, {_perm_sql(True)} SELECT perm_id, count(*) AS n, count(*) FILTER (perms.label = u.label) AS unmoved FROM perms JOIN u USING (unit) GROUP BY perm_id", ints=("perm_id",))
 def blocked_perm_table(spark, d):
     u = _scored_units(spark, d)
     p = I.permuted_labels(u, "unit", "label", _B, "run").withColumnRenamed("label", "new")
@@ -227,7 +227,7 @@ def bh_fdr(spark, d):
 @query("""
 WITH r AS (SELECT draw_id, genre, doc_id, n_chars, row_number() OVER (PARTITION BY draw_id, genre ORDER BY md5('42|' || draw_id || '|' || doc_id), doc_id) AS r FROM documents, (SELECT unnest(range(0, 10)) AS draw_id) WHERE genre IS NOT NULL), l AS (SELECT min(c) AS least FROM (SELECT count(*) AS c FROM documents WHERE genre IS NOT NULL GROUP BY genre))
 SELECT draw_id, genre, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM r, l WHERE r <= least GROUP BY ALL
-""")
+""", ints=("draw_id",))
 def downsample_equal(spark, d):
     docs = table(spark, d, "documents").where("genre IS NOT NULL").select("doc_id", "genre", "n_chars")
     return I.downsampled(docs, "genre", "doc_id", 10).groupBy("draw_id", "genre").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))

@@ -35,7 +35,7 @@ w AS (SELECT lang, source, unnest(ts) AS word FROM d),
 c AS (SELECT lang, source, word, count(*) AS n FROM w GROUP BY ALL)
 SELECT t.lang, t.source, slot, s.word, coalesce(n, 0) AS n, CAST(total AS BIGINT) AS total, CASE WHEN total = 0 THEN 0.0 ELSE coalesce(n, 0) / total * 1000 END AS per_1000
 FROM t CROSS JOIN slots s LEFT JOIN c ON c.lang = t.lang AND c.source IS NOT DISTINCT FROM t.source AND c.word = s.word
-""")
+""", ints=("slot",))
 def fw_profile_by_group(spark, d):
     return features.word_profile(_docs(spark, d).select(_lang("lang").alias("lang"), "source", "text"), ["lang", "source"], "text")
 
@@ -47,18 +47,18 @@ def _hits(tokens):
 _FW = sql_list(distinct_words(FUNCTION_WORDS))
 
 
-@query(f"SELECT doc_id, coalesce(len({_T1}), 0) AS n, coalesce(len(list_filter({_T1}, lambda t: list_contains({_FW}, t))), 0) AS hits FROM documents")
+@query(f"SELECT doc_id, coalesce(len({_T1}), 0) AS n, coalesce(len(list_filter({_T1}, lambda t: list_contains({_FW}, t))), 0) AS hits FROM documents", ints=("n", "hits"))
 def tok_t1_counts(spark, d):
     t = X.tokens_letters(F.col("text"))
     return _docs(spark, d).select("doc_id", F.coalesce(F.size(t), F.lit(0)).alias("n"), F.coalesce(_hits(t), F.lit(0)).alias("hits"))
 
 
-@query(f"""SELECT doc_id, coalesce(len({_WS}), 0) AS n, coalesce(len(list_filter({_WSL}, lambda t: list_contains({_FW}, regexp_replace(t, '^[.,;:!?"''-]+|[.,;:!?"''-]+$', '', 'g')))), 0) AS hits FROM documents""")
+@query(f"""SELECT doc_id, coalesce(len({_WS}), 0) AS n, coalesce(len(list_filter({_WSL}, lambda t: list_contains({_FW}, regexp_replace(t, '^[.,;:!?"''-]+|[.,;:!?"''-]+$', '', 'g')))), 0) AS hits FROM documents""", ints=("n", "hits"))
 def tok_t2_counts(spark, d):
     return _docs(spark, d).select("doc_id", X.word_count(F.col("text")).alias("n"), F.coalesce(_hits(X.tokens_trimmed(F.col("text"))), F.lit(0)).alias("hits"))
 
 
-@query(f"SELECT doc_id, coalesce(len({_WS}), 0) AS n, coalesce(len(list_filter({_WSL}, lambda t: list_contains({_FW}, regexp_replace(t, '[^a-z]', '', 'g')))), 0) AS hits FROM documents")
+@query(f"SELECT doc_id, coalesce(len({_WS}), 0) AS n, coalesce(len(list_filter({_WSL}, lambda t: list_contains({_FW}, regexp_replace(t, '[^a-z]', '', 'g')))), 0) AS hits FROM documents", ints=("n", "hits"))
 def tok_t3_counts(spark, d):
     return _docs(spark, d).select("doc_id", X.word_count(F.col("text")).alias("n"), F.coalesce(_hits(X.tokens_squeezed(F.col("text"))), F.lit(0)).alias("hits"))
 
@@ -66,7 +66,7 @@ def tok_t3_counts(spark, d):
 _T4 = "regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')"
 
 
-@query(f"SELECT doc_id, coalesce(len({_T4}), 0) AS n, CASE WHEN coalesce(len({_T4}), 0) = 0 THEN 0.0 ELSE len(list_filter({_T4}, lambda t: list_contains({_FW}, t))) / len({_T4}) END AS share FROM documents")
+@query(f"SELECT doc_id, coalesce(len({_T4}), 0) AS n, CASE WHEN coalesce(len({_T4}), 0) = 0 THEN 0.0 ELSE len(list_filter({_T4}, lambda t: list_contains({_FW}, t))) / len({_T4}) END AS share FROM documents", ints=("n",))
 def tok_t4_counts(spark, d):
     t = X.tokens_apostrophe(F.col("text"))
     n = F.coalesce(F.size(t), F.lit(0))
@@ -80,7 +80,7 @@ _LEN = "list_transform({t}, lambda x: len(x))".format(t=_T1)
 WITH s AS (SELECT doc_id, {_LEN} AS z FROM documents), m AS (SELECT doc_id, coalesce(len(z), 0) AS n, z FROM s)
 SELECT doc_id, n AS n_tokens, round(CASE WHEN n = 0 THEN 0.0 ELSE list_avg(z) END, 9) AS mean_length, round(CASE WHEN n = 0 THEN 0.0 ELSE list_stddev_pop(z) END, 6) AS sd_length,
 {", ".join(f"round(CASE WHEN n = 0 THEN 0.0 ELSE len(list_filter(z, lambda x: x {'>=' if k == 8 else '='} {k})) / n * 100 END, 9) AS pct_{k}" for k in range(1, 9))} FROM m
-""")
+""", ints=("n_tokens",))
 def word_length_dist(spark, d):
     out = features.word_lengths(_docs(spark, d).select("doc_id", "text"), "text")
     return out.select("doc_id", "n_tokens", F.round("mean_length", R).alias("mean_length"), F.round("sd_length", 6).alias("sd_length"), *[F.round(f"pct_{k}", R).alias(f"pct_{k}") for k in range(1, 9)])
@@ -90,7 +90,7 @@ def word_length_dist(spark, d):
 WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS z FROM documents),
 u AS (SELECT doc_id, unnest(z) AS text FROM s), w AS (SELECT doc_id, sum(len({_T1})) AS words, sum(length(text)) AS chars FROM u GROUP BY doc_id)
 SELECT s.doc_id, coalesce(len(z), 0) AS n_sentences, round(coalesce(words / len(z), 0.0), 9) AS mean_words, round(coalesce(chars / len(z), 0.0), 9) AS mean_chars FROM s LEFT JOIN w USING (doc_id)
-""")
+""", ints=("n_sentences",))
 def sentence_stats(spark, d):
     out = features.sentence_profile(_docs(spark, d).select("doc_id", "text"), "text")
     return out.select("doc_id", "n_sentences", F.round("mean_words", R).alias("mean_words"), F.round("mean_chars", R).alias("mean_chars"))
@@ -160,7 +160,7 @@ def normalize_unicode(spark, d):
 SELECT doc_id, coalesce(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')), 0) AS words, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS collapsed,
 md5(regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), ' +', ' ', 'g')) AS fewer,
 md5(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS comparable FROM documents
-""")
+""", ints=("words",))
 def whitespace_forms(spark, d):
     t = F.col("text")
     return _docs(spark, d).select("doc_id", X.word_count(t).alias("words"), F.md5(X.collapsed(t)).alias("collapsed"), F.md5(X.fewer_blanks(t)).alias("fewer"), F.md5(X.comparable(t)).alias("comparable"))
@@ -198,7 +198,7 @@ _NAMES = ["vesefur", "liza", "kafoze", "voma", "suzes", "higoda"]
 WITH w AS (SELECT doc_id, {_WS} AS ws FROM documents)
 SELECT doc_id, md5(array_to_string(list_transform(ws, lambda w: CASE WHEN list_contains({sql_list(_NAMES)}, regexp_replace(lower(w), '[^a-z]', '', 'g')) THEN '[NAME]' ELSE w END), ' ')) AS digest,
 len(list_filter(ws, lambda w: list_contains({sql_list(_NAMES)}, regexp_replace(lower(w), '[^a-z]', '', 'g')))) AS n FROM w
-""")
+""", ints=("n",))
 def mask_names(spark, d):
     m = X.masked(F.col("text"), _NAMES)
     n = F.size(F.filter(X.words_by_blanks(F.col("text")), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", "").isin(_NAMES)))
