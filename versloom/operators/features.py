@@ -145,7 +145,7 @@ def richness(df: DataFrame, unit: str, text: str) -> DataFrame:
     return by.select(unit, "tokens", "types", "hapax", (F.col("types") / n).alias("ttr"), (F.col("hapax") / F.col("types")).alias("hapax_ratio"), k.alias("yules_k"))
 
 
-def divergence(df: DataFrame, unit: str, text: str, base: DataFrame | None = None) -> DataFrame:
+def divergence(df: DataFrame, unit: str, text: str) -> DataFrame:
     """(unit, jsd): Jensen-Shannon divergence in bits between the tokens of each unit and those of all units together."""
     tokens = df.select(unit, F.explode(X.tokens_letters(F.col(text))).alias("t"))
     by = tokens.groupBy(unit, "t").agg(F.count(F.lit(1)).alias("n"))

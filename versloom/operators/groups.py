@@ -29,7 +29,7 @@ def strata(df: DataFrame, column: str, sep: str = "/") -> DataFrame:
 def baselines(df: DataFrame, label: str) -> DataFrame:
     """(n, classes, majority, majority_share, uniform, stratified, trivial_f1) of guessing without looking; equal counts go to the smaller label."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("c"))
-    a = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("classes"), F.max("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.max(F.struct(F.col("c"), F.lit(0))).alias("_"))
+    a = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("classes"), F.max("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
     best = counts.orderBy(F.desc("c"), label).limit(1).select(F.col(label).alias("majority"))
     share = F.col("m") / F.col("n")
     return a.crossJoin(best).select("n", "classes", "majority", share.alias("majority_share"), (1 / F.col("classes")).alias("uniform"), (F.col("s") / (F.col("n") * F.col("n"))).alias("stratified"), (2 * share / (share + 1) / F.col("classes")).alias("trivial_f1"))
