@@ -13,6 +13,22 @@ def test_runs_with_nulls(spark):
     assert [(r.first_i, r.last_i, r.n_rows) for r in t] == [(0, 1, 2), (2, 3, 2), (4, 4, 1), (5, 5, 1)]
 
 
+def test_hot_keys_are_cut_across_parts(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, "hot", "hot", "hot", "b", "c"]), i, rng.choice(["x", "x", "y", None]), rng.choice([None, None, None, i])) for i in range(400)]
+    rows += [("one", 1000 + i, "x", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, i int, v string, w int")
+    for many in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(many))
+        plain = S.runs(df, ["k"], ["i"], ["v"])
+        cut = S.runs(df, ["k"], ["i"], ["v"], hot_rows=0)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
+        a = S.carried_forward(df, ["k"], ["i"], "w", "last")
+        b = S.carried_forward(df, ["k"], ["i"], "w", "last", hot_rows=0)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def greedy(words, target, least=300):
     out, acc, n = [], 0, 0
     for w in words:

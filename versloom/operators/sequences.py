@@ -15,11 +15,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def runs(df: DataFrame, keys: list[str], order: list[str], same: list[str]) -> DataFrame:
+#: Rows of a key up to which a window holds it in one task; beyond, the order is cut across keys.
+HOT_ROWS = 20_000_000
+
+
+def _hottest(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the most frequent key, from a count that is combined before it is exchanged."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _parts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` in global order with _part and _at."""
+    from versloom.operators.positions import range_sorted
+
+    return range_sorted(df, [F.col(c) for c in [*keys, *order]])
+
+
+def _carried_table(df: DataFrame, keys: list[str], rows: list[tuple], columns: dict[str, T.DataType]) -> DataFrame:
+    """(_part, _key, …): what a part takes over from the one before, for the key under way; one row a part."""
+    key = T.StructType([df.schema[k] for k in keys])
+    schema = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_key", key), *[T.StructField(c, k) for c, k in columns.items()]])
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+
+
+def runs(df: DataFrame, keys: list[str], order: list[str], same: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """``df`` with ``run_no``: a number from 1 that grows whenever one of the columns ``same`` changes along ``order``.
 
-    Two nulls are the same. The rows of a key are numbered together.
+    Two nulls are the same. Rows of a key that are equal in ``order`` come in
+    an undefined order. If a key has more than ``hot_rows`` rows, the rows are
+    range-sorted instead of gathered by key; each part is numbered for itself,
+    and a table of one row a part carries the numbers on.
     """
+    if _hottest(df, keys) > hot_rows:
+        return _runs_across_parts(df, keys, order, same)
     w = Window.partitionBy(*keys).orderBy(*order)
     changed = F.lit(False)
     for c in same:
@@ -29,6 +57,28 @@ def runs(df: DataFrame, keys: list[str], order: list[str], same: list[str]) -> D
     return flagged.withColumn("run_no", F.sum("_new").over(w).cast("int")).drop("_new")
 
 
+def _runs_across_parts(df: DataFrame, keys: list[str], order: list[str], same: list[str]) -> DataFrame:
+    s = _parts(df, keys, order)
+    w = Window.partitionBy("_part", *keys).orderBy("_at")
+    changed = F.lit(False)
+    for c in same:
+        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(w))
+    inside = F.sum(F.when((F.row_number().over(w) > 1) & changed, 1).otherwise(0)).over(w)
+    local = s.withColumn("_local", inside)
+    key, at = F.struct(*keys), F.struct(*same)
+    ends = local.groupBy("_part").agg(F.min_by(key, "_at").alias("fk"), F.max_by(key, "_at").alias("lk"), F.min_by(at, "_at").alias("fs"), F.max_by(at, "_at").alias("ls"), F.max_by("_local", "_at").alias("n")).orderBy("_part").collect()  # one row a part
+    rows, before = [], None  # before: key, state and number at the end of the part before
+    for r in ends:
+        base = 1
+        if before and before[0] == r["fk"]:
+            base = before[2] + (before[1] != r["fs"])
+            rows.append((r["_part"], tuple(r["fk"]), base))
+        before = (r["lk"], r["ls"], r["n"] + (base if r["lk"] == r["fk"] else 1))
+    carried = _carried_table(df, keys, rows, {"_base": T.IntegerType()})
+    j = local.withColumn("_key", F.struct(*keys)).join(carried.withColumnsRenamed({"_part": "_p", "_key": "_k"}), (F.col("_part") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
+    return j.withColumn("run_no", (F.col("_local") + F.coalesce("_base", F.lit(1))).cast("int")).select(*df.columns, "run_no")
+
+
 def run_table(df: DataFrame, keys: list[str], order: list[str], same: list[str], first: list[str], total: str | None = None) -> DataFrame:
     """One row for each run: keys, run_no, ``same``, the ``first`` columns of its first row as first_…, of its last as last_…, length and total."""
     r = runs(df, keys, order, same)
@@ -41,10 +91,29 @@ def run_table(df: DataFrame, keys: list[str], order: list[str], same: list[str],
     return r.groupBy(*keys, "run_no").agg(*aggs)
 
 
-def carried_forward(df: DataFrame, keys: list[str], order: list[str], column: str, out: str) -> DataFrame:
-    """``df`` with the last value of ``column`` that is not null, up to and with the row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(column, ignorenulls=True).over(w))
+def carried_forward(df: DataFrame, keys: list[str], order: list[str], column: str, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` with the last value of ``column`` that is not null, up to and with the row.
+
+    Keys with more than ``hot_rows`` rows are treated as in :func:`runs`.
+    """
+    if _hottest(df, keys) <= hot_rows:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.last(column, ignorenulls=True).over(w))
+    s = _parts(df, keys, order)
+    w = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    local = s.withColumn("_local", F.last(column, ignorenulls=True).over(w))
+    key = F.struct(*keys)
+    ends = local.groupBy("_part").agg(F.min_by(key, "_at").alias("fk"), F.max_by(key, "_at").alias("lk"), F.max_by(F.struct("_local"), "_at").alias("v")).orderBy("_part").collect()  # one row a part
+    rows, before = [], None
+    for r in ends:
+        taken = before[1] if before and before[0] == r["fk"] else None
+        if taken is not None:
+            rows.append((r["_part"], tuple(r["fk"]), taken))
+        last = r["v"]["_local"]
+        before = (r["lk"], taken if last is None and r["lk"] == r["fk"] else last)
+    carried = _carried_table(df, keys, rows, {"_taken": df.schema[column].dataType})
+    j = local.withColumn("_key", key).join(carried.withColumnsRenamed({"_part": "_p", "_key": "_k"}), (F.col("_part") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
+    return j.withColumn("_value", F.coalesce("_local", "_taken")).select(*[c for c in df.columns if c != out], F.col("_value").alias(out))
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable, finish: Callable, schema: T.StructType | str) -> DataFrame:
