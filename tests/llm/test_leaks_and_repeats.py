@@ -119,3 +119,22 @@ def test_false_refusals_stay_under_the_risk(spark):
             best = k / 100
         bad += 1 - best > 0.05
     assert bad / runs < 0.2
+
+
+def test_edited_copy_with_one_run_of_six(spark, tmp_path):
+    """Of 60 terms every sixth is changed but one, so a single run of 6 or more is left: 49 matches, ten changes between them."""
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"][:60]
+    edited = [f"zz{i:02}".translate(str.maketrans("0123456789", "qrstuvwxyz")) if i in (5, 10, 15, 20, 25, 32, 37, 42, 47, 52, 57) else w for i, w in enumerate(words)]
+    other = [f"y{w}" for w in words]
+    spark.createDataFrame([(1, " ".join(edited)), (3, " ".join(other)), (4, " ".join(other[:6]) + " u v w")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(words)), (8, " ".join(other))], "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = {(r.doc_id, r.item_id): (r.longest_run, r.score) for r in K.p8_leaks(spark, str(tmp_path)).collect()}
+    assert got == {(1, 7): (6, smith_waterman(words, edited)), (3, 8): (60, 120)}
+    assert [r.doc_id for r in K.p8_found(spark, str(tmp_path)).collect()] == [3]
+
+
+def test_score_bound_is_never_too_low():
+    rng = np.random.RandomState(6)
+    for _ in range(60):
+        a, b = rng.randint(-1, 5, rng.randint(1, 25)), rng.randint(0, 5, rng.randint(1, 25))
+        assert K.score_bound(a, K.Counter(b.tolist())) >= K.align(a, b)[0]

@@ -14,7 +14,9 @@ many they are; the corpus is never shuffled.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ from versloom.tables import table
 SEED, RUN, BLOCK = 6, 12, 2_000_000
 #: An n-gram in at most this share of the documents is a seed wherever it stands.
 RARE = 0.001
-#: A pair with nothing in common but one run shorter than this is not aligned: its score is that of the run.
+#: A pair whose seeds lie in one run shorter than this is not aligned if its score can't reach what is asked for.
 NEAR = 8
+#: Share of the score of a full copy that an edited copy has at least.
+LEAST = 0.5
 #: Alignment: match, mismatch and gap.
 MATCH, MISMATCH, GAP = 2, -2, -2
 _PRIME = np.uint64(0x100000001B3)
@@ -59,6 +63,7 @@ class ItemBlock:
         self.grams = np.unique(np.concatenate([h for h, _ in grams])) if grams else np.zeros(0, np.uint64)
         self.seeds = self.grams
         self.owners: dict[int, list[tuple[int, int]]] = {}
+        self.counts = [Counter(x.tolist()) for x in self.ids]
 
     def choose_seeds(self, frequency: np.ndarray, documents: int) -> None:
         """Keeps the rarest n-gram of every window and all that are rare; ``frequency`` goes with ``grams``."""
@@ -140,6 +145,11 @@ def equal_run(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> tuple[int, i
     return p - low, low + end
 
 
+def score_bound(doc: np.ndarray, counts: Counter) -> int:
+    """Most that an alignment of ``doc`` with an item of these term counts can score: a match for every term in common, nothing lost between."""
+    return MATCH * (Counter(doc.tolist()) & counts).total()
+
+
 _LEAKS = T.StructType().add("longest_run", "integer").add("score", "integer").add("item_terms", "integer").add("first_term", "integer").add("end_term", "integer")
 
 
@@ -149,15 +159,16 @@ def _texts(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[list[st
         yield lo, [terms(v) for v in column.slice(lo, size).to_pylist()]
 
 
-def find_leaks(df: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, n: int = SEED, run: int = RUN) -> DataFrame:
+def find_leaks(df: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, n: int = SEED, run: int = RUN, least: float = 0.0) -> DataFrame:
     """(doc, item, longest_run, score, item_terms, first_term, end_term) for every document that shares a seed with an item.
 
     ``longest_run`` is the exact number of consecutive terms in common;
     ``score`` that of the best local alignment between the item and the part of
     the document around its seeds (2 for a match, -2 for a mismatch or gap),
-    found in the document from ``first_term`` to ``end_term``. Pairs with one
-    run of fewer than ``NEAR`` terms in common and no other seed have the score
-    of that run. Every pair with
+    found in the document from ``first_term`` to ``end_term``. Pairs whose seeds
+    lie in one run of fewer than ``NEAR`` terms have the length and score of
+    that run if their terms in common, all matched, would score less than the
+    share ``least`` of a full copy; at 0 every pair is aligned. Every pair with
     ``run`` consecutive terms in common has a row; pairs with less have one if
     a seed of ``n`` terms survived. Items and documents with fewer than ``n``
     terms, null or empty texts give no row. Rows with a null item are left out;
@@ -172,12 +183,12 @@ def find_leaks(df: DataFrame, doc: str, text: str, items: DataFrame, item: str,
     for b in range(blocks):
         part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         block = ItemBlock([(r["i"], r["t"]) for r in part.orderBy("i", "t").collect()], n, run)  # at most about BLOCK terms
-        found = _block_leaks(df, doc, text, block, items.schema[item].dataType, item)
+        found = _block_leaks(df, doc, text, block, items.schema[item].dataType, item, least)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _block_leaks(df: DataFrame, doc: str, text: str, block: ItemBlock, kind: T.DataType, item: str) -> DataFrame:
+def _block_leaks(df: DataFrame, doc: str, text: str, block: ItemBlock, kind: T.DataType, item: str, least: float) -> DataFrame:
     spark = df.sparkSession
     first = spark.sparkContext.broadcast(block)
 
@@ -224,13 +235,14 @@ def _block_leaks(df: DataFrame, doc: str, text: str, block: ItemBlock, kind: T.D
                     begin = int(starts[d])
                     end = int(starts[d + 1]) if d + 1 < len(starts) else len(ids)
                     own, item_ids = ids[begin:end], block.ids[owner]
-                    if len({p - q for p, q in seeds}) == 1:
+                    low = max(0, min(p - q for p, q in seeds) - begin - 8)
+                    high = max(p - q for p, q in seeds) - begin + len(item_ids) + 8
+                    if least and len({p - q for p, q in seeds}) == 1:
                         first, n = equal_run(own, item_ids, seeds[0][0] - begin, seeds[0][1])
-                        if n < NEAR and n >= seeds[-1][0] - seeds[0][0] + block.n:
+                        one = n < NEAR and n >= seeds[-1][0] - seeds[0][0] + block.n
+                        if one and score_bound(own[low:high], block.counts[owner]) < least * MATCH * len(item_ids):
                             rows.append((lo + d, block.names[owner], n, n * MATCH, len(item_ids), first, first + n))
                             continue
-                    low = max(0, min(p - q for p, q in seeds) - begin - 8)
-                    high = max(p - q for p, q in seeds) - begin + len(item_ids) + 8
                     score, a, z, longest = align(own[low:high], item_ids)
                     rows.append((lo + d, block.names[owner], longest, score, len(item_ids), low + a, low + z))
                 if rows:
@@ -245,12 +257,12 @@ def _block_leaks(df: DataFrame, doc: str, text: str, block: ItemBlock, kind: T.D
 
 def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Exact and edited copies: 12 terms in a row, or an alignment with at least half the score of a full copy."""
-    found = find_leaks(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
-    return found.where((F.col("longest_run") >= RUN) | (F.col("score") >= F.col("item_terms") * MATCH * 0.5))
+    found = find_leaks(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text", least=LEAST)
+    return found.where((F.col("longest_run") >= RUN) | (F.col("score") >= F.col("item_terms") * MATCH * LEAST))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = find_leaks(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+    found = find_leaks(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text", least=inf)  # only the run counts
     return found.where(F.col("longest_run") >= RUN).select("doc_id", "item_id").distinct()
 
 
