@@ -138,3 +138,25 @@ def test_score_bound_is_never_too_low():
     for _ in range(60):
         a, b = rng.randint(-1, 5, rng.randint(1, 25)), rng.randint(0, 5, rng.randint(1, 25))
         assert K.score_bound(a, K.Counter(b.tolist())) >= K.align(a, b)[0]
+
+
+def test_cutoffs_count_every_document(spark, tmp_path):
+    """600 documents of a small language are enough for a cutoff, however many others there are."""
+    text = lambda c: F.concat_ws(" ", *[F.concat(F.lit(c), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(chr(107 + k))) for k in range(10)])
+    big = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), text("p").alias("text"))
+    small = spark.range(600).select((F.col("id") + 100_000).alias("doc_id"), F.lit("und").alias("lang"), text("q").alias("text"))
+    again = spark.range(5).select((F.col("id") + 200_000).alias("doc_id"), F.lit("und").alias("lang"), F.repeat(F.lit("a b c d e f g h "), 5).alias("text"))
+    big.union(small).union(again).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.stratum: r for r in R.p9_cutoffs(spark, str(tmp_path)).collect()}
+    assert {s: (r.n_good, r.certified) for s, r in got.items()} == {"en": (60_000, True), "un": (600, True)}
+    shares = R.p9_shares(spark, str(tmp_path)).where("refused").collect()
+    assert sorted(r.doc_id for r in shares) == [200_000 + i for i in range(5)]
+
+
+def test_binomial_sum_over_many():
+    for n, p in ((50, 0.02), (400, 0.3), (1000, 0.7)):
+        total = 0.0
+        for k in range(n):
+            total += R.exp(R.lgamma(n + 1) - R.lgamma(k + 1) - R.lgamma(n - k + 1) + k * R.log(p) + (n - k) * R.log(1 - p))
+            assert abs(R.binomial_cdf(k, n, p) - total) < 1e-9
+    assert abs(R.binomial_cdf(600_000, 30_000_000, 0.02) - 0.5) < 0.001

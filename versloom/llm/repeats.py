@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from math import exp, lgamma, log
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +139,19 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     """P(X <= k) for n draws with chance p."""
     if k >= n:
         return 1.0
-    return min(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)) for i in range(k + 1)))
+    if p <= 0 or p >= 1:
+        return float(p <= 0)
+    # from k away from the mean, until what follows is too small to count
+    below = k <= n * p
+    i, total = (k, 0.0) if below else (k + 1, 0.0)
+    term = exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p))
+    while term > total * 1e-17:
+        total += term
+        if i == (0 if below else n):
+            break
+        term *= i * (1 - p) / ((n - i + 1) * p) if below else (n - i) * p / ((i + 1) * (1 - p))
+        i += -1 if below else 1
+    return min(1.0, total) if below else max(0.0, 1 - total)
 
 
 def upper_bound(k: int, n: int, error: float) -> float:
@@ -182,23 +194,17 @@ def risk_controlled_cutoffs(holdout: DataFrame, stratum: str, score: str, good:
     return holdout.sparkSession.createDataFrame(out, "stratum string, cutoff double, n_good long, refused long, bound double, certified boolean")
 
 
-#: Most documents of the labelled holdout.
-HOLDOUT = 20_000
-
-
 def _measured(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Measured documents with their strata, and the cutoffs.
 
-    The holdout is the documents whose hash falls under a bound that leaves
-    ``HOLDOUT`` at most by expectation; its labels follow the definition of the
-    problem: good is a document of which less than 30 % of the terms repeat.
+    Every document counts for the cutoff of its stratum; the labels follow the
+    definition of the problem: good is a document of which less than 30 % of
+    the terms repeat.
     """
     docs = table(spark, folder, "documents").select("doc_id", F.lower(F.substring(F.trim("lang"), 1, 2)).alias("stratum"), "text")
     m = staged(repetition(docs.withColumn("stratum", F.coalesce("stratum", F.lit("?"))), "text"), "repeats")
     m = m.withColumn("score", F.greatest("phrase_share", "sentence_share", "paragraph_share"))
-    share = min(1.0, HOLDOUT / max(1, m.count()))
-    held = m.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("good", ~_definition())
-    return m, risk_controlled_cutoffs(held, "stratum", "score", "good")
+    return m, risk_controlled_cutoffs(m.withColumn("good", ~_definition()), "stratum", "score", "good")
 
 
 def _definition():
