@@ -1,8 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from versloom.functions import statistics as st
 from versloom.operators import groups as G, infer as I, joins as J, learn as L, pairs as P
+from versloom.plans import more_queries as M, study_queries as Q
 
 
 def test_t_distribution():
@@ -162,3 +164,50 @@ def test_lookups_and_sets(spark):
     assert [(r.x, r.y) for r in m] == [("the old book", "the old books")]
     a = spark.createDataFrame([(i, "xy"[i % 2]) for i in range(10)], "k int, l string")
     assert J.agreement(a, a, ["k"], "l").first().kappa == 1.0
+
+
+@pytest.mark.parametrize("n, d, k", [(60, 40, 8), (120, 169, 4)])
+def test_logistic_by_conjugate_gradients(n, d, k):
+    rng = np.random.RandomState(7)
+    x, y = rng.randn(n, d), np.arange(n) % k
+    w = L.balanced_weights(y)
+    coef, b = L.fit_logistic(x, y, w)
+    m = x @ coef.T + b
+    p = np.exp(m - m.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    assert np.abs((w[:, None] * (p - np.eye(k)[y])).T @ x + coef).max() < 1e-6
+
+
+@pytest.fixture(scope="module")
+def study(spark, tmp_path_factory):
+    """Four sources, each with its own function words, in three genres and five ways to state a language."""
+    at = str(tmp_path_factory.mktemp("study"))
+    words = {"a": "the the of", "b": "and and in", "c": "to to that", "x/d": "was was his"}
+    rows = [(s, g, lang, f"{w} {g} {'with' if g == 'g1' else 'for' if g == 'g2' else 'not'}") for s, w in words.items() for g in ("g1", "g2", "g3") for lang in ("en", "EN", "de", None, "und")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, genre string, lang string, text string")
+    df.write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+def test_matrix_has_all_languages(spark, study):
+    units, x, y, labels = Q._matrix(spark, study)
+    assert sorted(units) == sorted(f"{s}/{g}/{lang}" for s in ("a", "b", "c", "x/d") for g in ("g1", "g2", "g3") for lang in ("en", "de", "?", "un"))
+    assert {r.unit for r in Q.logit_loo(spark, study).collect()} == set(units) and labels == ["g1", "g2", "g3"]
+
+
+def test_folds_keep_sources_whole(spark, study):
+    units = Q._matrix(spark, study)[0]
+    for k in (3, 5):
+        folds = Q._folds(units, k)
+        assert len(set(folds)) == min(k, 4) and len(set(zip(Q._sources(units), folds, strict=True))) == 4
+
+
+def test_source_is_predicted_as_it_is(spark, study):
+    got = {r.label: r.balanced_accuracy for r in M.label_predictability(spark, study).collect()}
+    assert got == {"genre": 1.0, "source": 1.0}
+
+
+def test_number_of_permutations(spark, study):
+    rows = Q.logit_perm_null(spark, study, permutations=30).collect()
+    assert sorted(r.perm_id for r in rows) == list(range(31)) and max(rows, key=lambda r: r.score).perm_id == 0
+    assert Q.logit_perm_null.__defaults__ == (10_000,)

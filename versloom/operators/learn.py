@@ -77,6 +77,29 @@ def centroid_loo(df: DataFrame, item: str, vector: str, label: str) -> DataFrame
 # --- logistic regression for many small fits
 
 
+#: Unknowns of a fit beyond which the Newton steps come from conjugate gradients, without the matrix.
+DENSE = 300
+
+
+def _newton_step(z: np.ndarray, p: np.ndarray, weights: np.ndarray, penalty: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Solution of Hessian times step = ``g`` by conjugate gradients, the more exact the smaller ``g`` is."""
+    scale = (z**2).T @ (weights[:, None] * p * (1 - p)) + penalty[:, None] + 1e-10
+    step, r = np.zeros_like(g), g.copy()
+    q = r / scale
+    v, rq = q.copy(), (r * q).sum()
+    size = np.sqrt((g * g).sum())
+    for _ in range(10 * g.size):
+        if np.sqrt((r * r).sum()) <= min(0.1, size) * size:
+            break
+        m = p * (z @ v)
+        hv = z.T @ (weights[:, None] * (m - p * m.sum(axis=1, keepdims=True))) + (penalty[:, None] + 1e-10) * v
+        a = rq / (v * hv).sum()
+        step, r = step + a * v, r - a * hv
+        q = r / scale
+        v, rq = q + (r * q).sum() / rq * v, (r * q).sum()
+    return step
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, c: float = 1.0, classes: int | None = None, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic regression, sum of weighted losses + |W|^2 / (2C), intercept not penalised: (coefficients, intercepts).
 
@@ -107,13 +130,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, c: float = 1
     for _ in range(steps):
         if np.abs(g).max() < 1e-9:
             break
-        h = np.zeros((k * d, k * d))
-        for a in range(k):
-            for b in range(k):
-                q = weights * p[:, a] * ((a == b) - p[:, b])
-                h[a * d : (a + 1) * d, b * d : (b + 1) * d] = z.T @ (q[:, None] * z) + (a == b) * np.diag(penalty)
-        h[np.diag_indices(k * d)] += 1e-10
-        step = np.linalg.lstsq(h, g.T.ravel(), rcond=None)[0].reshape(k, d).T
+        if k * d > DENSE:
+            step = _newton_step(z, p, weights, penalty, g)
+        else:
+            h = np.zeros((k * d, k * d))
+            for a in range(k):
+                for b in range(k):
+                    q = weights * p[:, a] * ((a == b) - p[:, b])
+                    h[a * d : (a + 1) * d, b * d : (b + 1) * d] = z.T @ (q[:, None] * z) + (a == b) * np.diag(penalty)
+            h[np.diag_indices(k * d)] += 1e-10
+            step = np.linalg.lstsq(h, g.T.ravel(), rcond=None)[0].reshape(k, d).T
         t = 1.0
         while t > 1e-6:
             new = state(w - t * step)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from versloom.operators import learn as L, sequences as S
 from versloom.plans.registry import query
 from versloom.plans.segment_queries import _CURRENT, _RUN, _current, _run
-from versloom.plans.study_queries import _UNITS, _delta_sql, _matrix, _units
+from versloom.plans.study_queries import _UNITS, _delta_sql, _folds, _matrix, _sources, _units
 from versloom.session import staged
 from versloom.tables import table
 
@@ -102,10 +102,10 @@ def feature_counts(spark, d):
 def jackknife_loo(spark, d):
     """How the balanced accuracy of grouped regression changes without each source."""
     units, x, y, _ = _matrix(spark, d)
-    sources = np.array([u.split("/")[0] for u in units])
+    sources, folds = _sources(units), _folds(units, 3)
     names = sorted(set(sources))
-    shared = spark.sparkContext.broadcast((x, y, sources, np.arange(len(y)) % 3))
-    whole = L.balanced_accuracy(y, L.held_out_guesses(x, y, np.arange(len(y)) % 3))
+    shared = spark.sparkContext.broadcast((x, y, sources, folds))
+    whole = L.balanced_accuracy(y, L.held_out_guesses(x, y, folds))
 
     def work(i):
         x, y, s, g = shared.value
@@ -117,14 +117,16 @@ def jackknife_loo(spark, d):
 
 @query()
 def label_predictability(spark, d):
-    """Whether units tell their genre or their source better, and what that says."""
+    """Whether units tell their genre or their source better: genre with whole sources held out, source with whole genres."""
     units, x, y, _ = _matrix(spark, d)
-    sources = np.array([u.split("/")[0] for u in units])
-    other = np.unique(sources, return_inverse=True)[1]
-    groups = np.arange(len(y)) % 3
-    shared = spark.sparkContext.broadcast((x, {"genre": y, "source": other % 6}, groups))
-    names = ["genre", "source"]
-    return L.per_task(spark, [0, 1], lambda i: [(names[i], float(L.balanced_accuracy(shared.value[1][names[i]], L.held_out_guesses(shared.value[0], shared.value[1][names[i]], shared.value[2]))))], "label string, balanced_accuracy double")
+    source = np.unique(_sources(units), return_inverse=True)[1]
+    shared = spark.sparkContext.broadcast((x, [("genre", y, _folds(units, 3)), ("source", source, y)]))
+
+    def work(i):
+        name, label, groups = shared.value[1][i]
+        return [(name, float(L.balanced_accuracy(label, L.held_out_guesses(shared.value[0], label, groups))))]
+
+    return L.per_task(spark, [0, 1], work, "label string, balanced_accuracy double")
 
 
 @query()

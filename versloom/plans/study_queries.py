@@ -321,17 +321,36 @@ def adjusted_rand(spark, d):
 # --- learners that SQL can't express
 
 
+#: Permutations of the null of the grouped regression.
+PERMUTATIONS = 10_000
+
+
 def _matrix(spark, d):
-    """Function-word features of units of source and genre, labelled by genre: a task that is not trivial."""
-    docs = table(spark, d, "documents").where("source IS NOT NULL AND genre IS NOT NULL AND lang = 'en'").select(F.col("genre").alias("l"), F.concat("source", F.lit("/"), "genre").alias("u"), "text")
+    """Function-word features of units of source, genre and language, labelled by genre: a task that is not trivial.
+
+    All documents with a source and a genre count; those without a language are
+    units of the language '?'.
+    """
+    docs = table(spark, d, "documents").where("source IS NOT NULL AND genre IS NOT NULL").select(F.col("genre").alias("l"), F.concat_ws("/", "source", "genre", _lang("lang")).alias("u"), "text")
     f = features.word_profile(docs, ["u", "l"], "text")
     return L.matrix_of(f, "u", "l", "slot", "per_1000")
 
 
+def _sources(units):
+    return np.array([u.rsplit("/", 2)[0] for u in units])
+
+
+def _folds(units, k):
+    """The fold of each unit: whole sources, so that none is in training and test at once."""
+    names, sizes = np.unique(_sources(units), return_counts=True)
+    fold = G.grouped_folds(list(zip(names.tolist(), sizes.tolist(), strict=True)), k)
+    return np.array([fold[s] for s in _sources(units)])
+
+
 @query()
 def logit_loo(spark, d):
     units, x, y, labels = _matrix(spark, d)
-    groups = np.array([u.split("/")[0] for u in units])
+    groups = _sources(units)
     folds = sorted(set(groups))
     shared = spark.sparkContext.broadcast((x, y, groups))
 
@@ -347,7 +366,7 @@ def logit_loo(spark, d):
 @query()
 def logit_c_grid(spark, d):
     units, x, y, _ = _matrix(spark, d)
-    groups = np.arange(len(y)) % 5
+    groups = _folds(units, 5)
     shared, grid = spark.sparkContext.broadcast((x, y, groups)), [0.01, 0.1, 1.0, 10.0, 100.0]
     return L.per_task(spark, list(range(len(grid))), lambda i: [(grid[i], L.balanced_accuracy(shared.value[1], L.held_out_guesses(*shared.value, c=grid[i])))], "c double, balanced_accuracy double")
 
@@ -355,7 +374,7 @@ def logit_c_grid(spark, d):
 @query()
 def unmasking_curve(spark, d):
     units, x, y, labels = _matrix(spark, d)
-    groups = np.arange(len(y)) % 5
+    groups = _folds(units, 5)
     shared = spark.sparkContext.broadcast((x, y, groups))
     pairs = [(a, b) for a in range(len(labels)) for b in range(a + 1, len(labels))]
 
@@ -369,10 +388,10 @@ def unmasking_curve(spark, d):
 
 
 @query()
-def logit_perm_null(spark, d):
-    """Null of the grouped logistic regression: one permutation a row, the matrix sent once."""
+def logit_perm_null(spark, d, permutations=PERMUTATIONS):
+    """Null of the grouped logistic regression: one permutation a row, the matrix sent once; row 0 has the true labels."""
     units, x, y, _ = _matrix(spark, d)
-    groups = np.arange(len(y)) % 3
+    groups = _folds(units, 3)
     shared = spark.sparkContext.broadcast((x, y, groups))
 
     def work(i):
@@ -380,7 +399,7 @@ def logit_perm_null(spark, d):
         label = y if i == 0 else np.random.RandomState(42 + int(i)).permutation(y)
         return [(int(i), float(L.balanced_accuracy(label, L.held_out_guesses(x, label, g))))]
 
-    return L.per_task(spark, list(range(25)), work, "perm_id long, score double")
+    return L.per_task(spark, list(range(permutations + 1)), work, "perm_id long, score double")
 
 
 @query()
