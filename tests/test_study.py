@@ -211,3 +211,9 @@ def test_number_of_permutations(spark, study):
     rows = Q.logit_perm_null(spark, study, permutations=30).collect()
     assert sorted(r.perm_id for r in rows) == list(range(31)) and max(rows, key=lambda r: r.score).perm_id == 0
     assert Q.logit_perm_null.__defaults__ == (10_000,)
+
+
+def test_best_match_without_a_common_word(spark):
+    a, b = spark.createDataFrame([("Kafoze",), ("thé óld bóok",)], "x string"), spark.createDataFrame([("Kafose",), ("the old book",), ("zzzzzz",)], "y string")
+    assert {r.x: r.y for r in J.best_match(a, b, "x", "y").collect()} == {"Kafoze": "Kafose", "thé óld bóok": "the old book"}
+    assert J.best_match(a, b, "x", "y", common_word=True).count() == 0

@@ -48,23 +48,55 @@ def range_lookup(df: DataFrame, at: str, bands: DataFrame, low: str, high: str,
     return df.withColumn(value, out)
 
 
-def best_match(left: DataFrame, right: DataFrame, text: str, other: str, least: float = 0.7, length_share: float = 0.5) -> DataFrame:
+def _rare_pairs(a: DataFrame, b: DataFrame, text: str, other: str, least: float) -> DataFrame:
+    """(text, other): every pair that can reach the similarity ``least``, and some that can't.
+
+    An edit changes at most two of the pairs of letters of a text with its ends
+    marked, so similar texts have a number of them in common and must share one
+    among their rarest (prefix filter). From one half down nothing need be shared.
+    """
+    if least <= 0.5:
+        return a.crossJoin(b)
+
+    def grams(df, c):
+        s = F.concat(F.lit("\u0002"), F.lower(c), F.lit("\u0003"))
+        g = df.select(c, F.length(F.lower(c)).alias("m"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(F.lower(c)) + 1), lambda i: F.substring(s, i, F.lit(2)))).alias("at", "g"))
+        return g.withColumn("nth", F.row_number().over(Window.partitionBy(c, "g").orderBy("at")))
+
+    x, y = grams(a, text), grams(b, other)
+    freq = x.select("g", "nth").unionAll(y.select("g", "nth")).groupBy("g", "nth").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefix(g, c):
+        need = F.ceil((2 * least - 1) * F.col("m") + 1 - 1e-9)
+        rank = F.row_number().over(Window.partitionBy(c).orderBy("n", "g", "nth"))
+        return g.join(freq, ["g", "nth"]).withColumn("r", rank).where(F.col("r") <= F.col("m") + 2 - need).select(c, "g", "nth")
+
+    return prefix(x, text).join(prefix(y, other), ["g", "nth"]).select(text, other)
+
+
+def best_match(left: DataFrame, right: DataFrame, text: str, other: str, least: float = 0.7, length_share: float = 0.5, common_word: bool = False, equal: bool = True) -> DataFrame:
     """(text, other, similarity) for each distinct text its most similar distinct other.
 
     Similarity is 1 - edit distance / longer length, on lower-cased text; pairs
-    whose lengths differ by more than ``length_share`` of the longer, or that
-    have no word in common, are not looked at. The cheap conditions come before
-    the edit distance. Ties go to the smaller other. Texts without a match are
-    left out; null and empty texts match nothing.
+    whose lengths differ by more than ``length_share`` of the longer are not
+    looked at, nor with ``common_word`` those that have no word in common, nor
+    without ``equal`` a text and itself. The cheap conditions come before the
+    edit distance and lose no pair of the similarity ``least``. Ties go to the
+    smaller other. Texts without a match are left out; null and empty texts
+    match nothing.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    a = left.select(text).where(F.col(text) != "").distinct().select(text, F.explode(words(F.col(text))).alias("w"))
-    b = right.select(other).where(F.col(other) != "").distinct().select(other, F.explode(words(F.col(other))).alias("w"))
+    a = left.select(text).where(F.col(text) != "").distinct()
+    b = right.select(other).where(F.col(other) != "").distinct()
     la, lb = F.length(text), F.length(other)
     longer = F.greatest(la, lb)
-    # rarest first: a pair is met once, under its least frequent common word, as far as the counts of the other side tell
-    freq = b.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    pairs = a.join(freq, "w").join(b, "w").where(F.abs(la - lb) <= length_share * longer).select(text, other).distinct()
+    if common_word:
+        met = a.select(text, F.explode(words(F.col(text))).alias("w")).join(b.select(other, F.explode(words(F.col(other))).alias("w")), "w")
+    else:
+        # lengths may differ by the edits allowed; lower case may be longer than what it is made of, never shorter
+        met = _rare_pairs(a, b, text, other, least)
+    apart = F.lit(True) if equal else F.col(text) != F.col(other)
+    pairs = met.where((F.abs(la - lb) <= length_share * longer) & apart).select(text, other).distinct()
     sim = 1 - F.levenshtein(F.lower(text), F.lower(other)) / longer
     scored = pairs.withColumn("similarity", sim).where(F.col("similarity") >= least)
     w = Window.partitionBy(text).orderBy(F.desc("similarity"), other)

@@ -64,7 +64,7 @@ def fuzzy_best_match(spark, d):
     works = table(spark, d, "works_manifest").where(F.octet_length("title") == F.length("title"))
     a = works.where("gutenberg_id % 2 = 1").select(F.col("title").alias("text"))
     b = works.where("gutenberg_id % 2 = 0").select(F.col("title").alias("other"))
-    return J.best_match(a, b, "text", "other").withColumn("similarity", F.round("similarity", 9))
+    return J.best_match(a, b, "text", "other", common_word=True).withColumn("similarity", F.round("similarity", 9))
 
 
 def _scored(spark, d, scorer):
