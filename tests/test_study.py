@@ -1,10 +1,12 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from versloom.functions import statistics as st
 from versloom.operators import groups as G, infer as I, joins as J, learn as L, pairs as P
-from versloom.plans import more_queries as M, study_queries as Q
+from versloom.plans import join_queries as Q2, more_queries as M, study_queries as Q
 
 
 def test_t_distribution():
@@ -217,3 +219,22 @@ def test_best_match_without_a_common_word(spark):
     a, b = spark.createDataFrame([("Kafoze",), ("thé óld bóok",)], "x string"), spark.createDataFrame([("Kafose",), ("the old book",), ("zzzzzz",)], "y string")
     assert {r.x: r.y for r in J.best_match(a, b, "x", "y").collect()} == {"Kafoze": "Kafose", "thé óld bóok": "the old book"}
     assert J.best_match(a, b, "x", "y", common_word=True).count() == 0
+
+
+def test_best_match_like_brute_force(spark, tmp_path):
+    """Accents, words that all have a changed letter, and titles of one parity: nothing above the threshold is lost."""
+    rng = random.Random(8)
+    titles = ["Of thé Humblé Kíndréd", "Of the Humble Kindred", "Kafoze", "Kafose", "a", "b", "ab", "İstanbul", "istanbul", "aaaaaaaaaa", "aaaaaaaaab", "", None]
+    for _ in range(60):
+        t = "".join(rng.choice("abcé ") for _ in range(rng.randint(1, 24))).strip()
+        titles += [t, "".join(rng.choice("abé") if rng.random() < 0.2 else c for c in t)]
+    df = spark.createDataFrame([(2 * i + 1, t) for i, t in enumerate(titles)], "gutenberg_id long, title string")
+    df.write.parquet(f"{tmp_path}/works_manifest.parquet")
+    texts = df.select(F.col("title").alias("text")).where("title <> ''").distinct()
+    near = 1 - F.levenshtein(F.lower("text"), F.lower("other")) / F.greatest(F.length("text"), F.length("other"))
+    want = {}
+    for r in texts.crossJoin(texts.toDF("other")).where("text <> other").withColumn("s", F.round(near, 9)).where("s >= 0.7").collect():
+        want[r.text] = min(want.get(r.text, (0, "")), (-r.s, r.other))
+    got = {r.text: (-r.similarity, r.other) for r in Q2.fuzzy_best_match_all(spark, str(tmp_path)).collect()}
+    assert got == want and {"Kafoze", "Of thé Humblé Kíndréd"} <= set(got)
+

@@ -67,6 +67,13 @@ def fuzzy_best_match(spark, d):
     return J.best_match(a, b, "text", "other", common_word=True).withColumn("similarity", F.round("similarity", 9))
 
 
+@query()
+def fuzzy_best_match_all(spark, d):
+    """For each title, in whatever letters, the most similar other title of the whole table."""
+    works = table(spark, d, "works_manifest")
+    return J.best_match(works.select(F.col("title").alias("text")), works.select(F.col("title").alias("other")), "text", "other", equal=False).withColumn("similarity", F.round("similarity", 9))
+
+
 def _scored(spark, d, scorer):
     s = table(spark, d, "block_scores").where((F.col("scorer") == scorer) & F.col("score").isNotNull())
     return s.groupBy("block_id").agg(F.max("score").alias("score")).select("block_id", (F.col("score") >= 0.5).alias("good"))
