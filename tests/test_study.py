@@ -238,3 +238,8 @@ def test_best_match_like_brute_force(spark, tmp_path):
     got = {r.text: (-r.similarity, r.other) for r in Q2.fuzzy_best_match_all(spark, str(tmp_path)).collect()}
     assert got == want and {"Kafoze", "Of thé Humblé Kíndréd"} <= set(got)
 
+
+def test_histogram_keeps_the_maximum(spark, tmp_path):
+    spark.createDataFrame([(min(float(i), 20.0),) for i in range(30)] + [(None,)], "value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.b: r.n for r in M.histogram_all(spark, str(tmp_path)).collect()}
+    assert got == {b: 12 if b == 9 else 2 for b in range(10)}

@@ -211,3 +211,11 @@ def histogram(spark, d):
     h = bins(e, "value", 10).select(F.col("bin").alias("b"), "n")
     at_top = e.join(F.broadcast(top), F.col("value") == F.col("top")).agg(F.count(F.lit(1)).alias("k"))  # one row
     return h.crossJoin(at_top).select("b", (F.col("n") - F.when(F.col("b") == 9, F.col("k")).otherwise(0)).alias("n")).where("n > 0")
+
+
+@query("SELECT CAST(least(9, floor(coalesce((value - lo) / nullif(hi - lo, 0), 0) * 10)) AS INTEGER) AS b, count(*) AS n FROM (SELECT value, min(value) OVER () AS lo, max(value) OVER () AS hi FROM events WHERE value IS NOT NULL) GROUP BY 1")
+def histogram_all(spark, d):
+    """Ten equal bins of all values, the maximum in the last."""
+    from versloom.sources.sinks import histogram as bins
+
+    return bins(table(spark, d, "events").where("value IS NOT NULL"), "value", 10).select(F.col("bin").alias("b"), "n").where("n > 0")
