@@ -106,3 +106,11 @@ def test_empty_and_plain_tables(spark):
     assert S.Repair(spark.createDataFrame([], schema)).found().count() == 0
     one = spark.createDataFrame([("d", 1, None, None), ("d", 2, "a plain line of words", None), ("e", 1, "x" * 100_000, None)], schema)
     assert S.Repair(one).found().count() == 0
+
+
+def test_rare_words_have_candidates(spark):
+    """A misreading of a word seen a few times reaches the ranker; a word that is not more frequent is no candidate."""
+    words = [("bigisore", 4), ("biglsore", 1), ("pugepibi", 3), ("pugeplbi", 1), ("house", 90), ("hoase", 20), ("even", 2), ("evcn", 2)]
+    df = spark.createDataFrame([(w, n, 1, 0.0) for w, n in words], "word string, n long, volumes long, capital double")
+    got = {(r.read, r.meant) for r in S.candidate_pairs(df).collect()}
+    assert got == {("biglsore", "bigisore"), ("pugeplbi", "pugepibi"), ("hoase", "house")}

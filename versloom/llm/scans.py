@@ -34,7 +34,7 @@ from versloom.tables import latest_rows, table
 
 #: Lines of a chunk, lines of its margins, and the most titles, lines and words that models are trained on.
 CHUNK, MARGIN, TITLES, LINES, WORDS = 2048, 16, 400, 4000, 4000
-#: How many times more often than the misread form its replacement must occur.
+#: How many times more often than the misread form a replacement occurs that counts as sure, for the counts of confusions.
 RATIO = 8
 
 # What scanners put for a character or two, as (read, meant).
@@ -377,25 +377,25 @@ def train_ranker(words: dict[str, tuple[int, float]], seen: dict[tuple[str, str]
             for i in range(len(w) - size + 1):
                 keys[w[:i], w[i + size :]].add(w)
 
-    def candidates(read: str, n_read: int) -> list[tuple[str, str, str]]:
+    def candidates(read: str, n_read: int, ratio: int = 1) -> list[tuple[str, str, str]]:
         found = {m for size in (1, 2) for i in range(len(read) - size + 1) for m in keys.get((read[:i], read[i + size :]), ())}
         out = []
         for m in sorted(found):
-            if words[m][0] >= RATIO * n_read and (ab := one_confusion(read, m)):
+            if words[m][0] > n_read and words[m][0] >= ratio * n_read and (ab := one_confusion(read, m)):
                 out.append((m, *ab))
         return out
 
     x, y = [], []
     for w, (n, capital) in words.items():
-        if len(w) < 3 or not w.isalpha() or any((p, q) in _KNOWN for _, p, q in candidates(w, n)):
+        if len(w) < 3 or not w.isalpha() or any((p, q) in _KNOWN for _, p, q in candidates(w, n, RATIO)):
             continue  # perhaps a misread word itself
         spots = [(i, a, b) for a, b in CONFUSIONS for i in range(len(w) - len(b) + 1) if w.startswith(b, i)]
         # frequent words are misread more often, in count and in number of ways
-        for i, a, b in rng.sample(spots, min(3 + n // 30, 24, len(spots))) if n >= RATIO else []:
+        for i, a, b in rng.sample(spots, min(3 + n // 30, 24, len(spots))) if n >= 2 else []:
             read = w[:i] + a + w[i + len(b) :]
             if read in words:
                 continue
-            n_read = max(1, int(n / (RATIO * 2 ** (7 * rng.random()))))
+            n_read = min(n - 1, max(1, int(n / 2 ** (10 * rng.random()))))
             found = candidates(read, n_read)
             own = rng.choice([0.0, capital, float(rng.random() < capital)]) if capital < 0.9 else capital  # a few occurrences show their share badly
             for m, p, q in found:
@@ -412,7 +412,7 @@ def train_ranker(words: dict[str, tuple[int, float]], seen: dict[tuple[str, str]
 
 
 def candidate_pairs(words: DataFrame) -> DataFrame:
-    """(read, meant, a, b, …) for words one confusion apart of which ``meant`` is at least ``RATIO`` times as frequent.
+    """(read, meant, a, b, …) for words one confusion apart of which ``meant`` is more frequent.
 
     A confusion destroys at most three bigrams of either word, so the two share
     one among the four that are rarest in the vocabulary: only those are joined.
@@ -430,8 +430,8 @@ def candidate_pairs(words: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("word").orderBy("in_words", "gram"))
     prefix = staged(grams.join(counts, "gram").withColumn("r", rank).where("r <= 4").join(words, "word").select("word", "gram", "n", "volumes", "capital"), "grams")
     read = prefix.select(F.col("word").alias("read"), "gram", F.col("n").alias("n_read"), F.col("volumes").alias("v_read"), F.col("capital").alias("cap_read"))
-    meant = prefix.select(F.col("word").alias("meant"), "gram", F.col("n").alias("n_meant"), F.col("capital").alias("cap_meant")).where(F.col("n_meant") >= RATIO)
-    near = (F.col("n_meant") >= RATIO * F.col("n_read")) & (F.abs(F.length("read") - F.length("meant")) <= 1) & (F.length("read") >= 2)
+    meant = prefix.select(F.col("word").alias("meant"), "gram", F.col("n").alias("n_meant"), F.col("capital").alias("cap_meant")).where("n_meant >= 2")
+    near = (F.col("n_meant") > F.col("n_read")) & (F.abs(F.length("read") - F.length("meant")) <= 1) & (F.length("read") >= 2)
     pairs = read.join(meant, "gram").where(near).drop("gram").distinct()
 
     def differ(frames):
@@ -456,17 +456,18 @@ def corrections(words: DataFrame) -> DataFrame:
     pairs = staged(candidate_pairs(words), "candidates")
     sure = pairs.where(f"n_meant >= {RATIO} * n_read")
     table_ = sure.groupBy("a", "b").agg(F.count_distinct("read").alias("seen"))
-    # at most one row for each confusion of three characters that more than one word shows
-    seen = {(r["a"], r["b"]): r["seen"] for r in table_.where("seen > 1").orderBy(F.desc("seen"), "a", "b").limit(5000).collect()}
+    counts = staged(table_.where("seen > 1"), "confusions")
+    # for the training only; the candidates are joined with all counts
+    seen = {(r["a"], r["b"]): r["seen"] for r in counts.orderBy(F.desc("seen"), "a", "b").limit(5000).collect()}
     frequent = words.orderBy(F.desc("n"), "word").limit(WORDS // 2)
     others = words.where("n >= 4").orderBy(F.xxhash64("word")).limit(WORDS // 2)
     sample = frequent.union(others).distinct().orderBy("word").collect()  # at most WORDS rows
     ranker = train_ranker({r["word"]: (r["n"], r["capital"]) for r in sample}, seen)
-    scored = pairs.withColumn("choices", F.count(F.lit(1)).over(Window.partitionBy("read")))
+    scored = pairs.join(counts, ["a", "b"], "left").na.fill(0, ["seen"]).withColumn("choices", F.count(F.lit(1)).over(Window.partitionBy("read")))
 
     def rank(frames):
         for f in frames:
-            x = [_pair_features(r.read, r.meant, r.a, r.b, r.n_read, r.n_meant, r.v_read, r.cap_read, r.cap_meant, seen.get((r.a, r.b), 0), r.choices) for r in f.itertuples()]
+            x = [_pair_features(r.read, r.meant, r.a, r.b, r.n_read, r.n_meant, r.v_read, r.cap_read, r.cap_meant, r.seen, r.choices) for r in f.itertuples()]
             yield pd.DataFrame({"read": f["read"], "meant": f["meant"], "p": ranker.predict(np.array(x)) if x else np.zeros(0)})
 
     best = scored.mapInPandas(rank, "read string, meant string, p double").groupBy("read").agg(F.max(F.struct("p", "meant")).alias("best"))
