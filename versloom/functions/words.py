@@ -17,19 +17,15 @@ _CURLY = str.maketrans({"’": "'", "‘": "'"})
 
 
 @lru_cache(maxsize=1)
-def term_pattern() -> re.Pattern[str]:
-    """Pattern of a term. ``[^\\W\\d_]`` also matches number signs such as one half, which are no letters."""
-    extra, start = [], None
-    for code in range(128, sys.maxunicode + 2):
-        char = chr(code) if code <= sys.maxunicode else " "
-        inside = char.isalnum() and unicodedata.category(char)[0] != "L" and not char.isdecimal()
-        if inside and start is None:
-            start = code
-        elif not inside and start is not None:
-            extra.append(f"\\U{start:08x}-\\U{code - 1:08x}")
-            start = None
-    letter = f"[^\\W\\d_{''.join(extra)}]"
-    return re.compile(f"{letter}+(?:[{APOSTROPHES}]{letter}+)*")
+def _number_signs() -> frozenset[str]:
+    """Characters that ``[^\\W\\d_]`` matches although they are no letters, such as one half."""
+    every = map(chr, range(128, sys.maxunicode + 1))
+    return frozenset(c for c in every if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
+
+
+#: Pattern of a term in a text without number signs.
+_LETTER = r"[^\W\d_]"
+_TERM = re.compile(f"{_LETTER}+(?:[{APOSTROPHES}]{_LETTER}+)*")
 
 
 def terms(text: str | None) -> list[str]:
@@ -38,7 +34,9 @@ def terms(text: str | None) -> list[str]:
         return []
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).lower()
-        found = term_pattern().findall(text)
+        for sign in _number_signs() & set(text):
+            text = text.replace(sign, " ")
+        found = _TERM.findall(text)
         if "’" in text or "‘" in text:
             return [t.translate(_CURLY) for t in found]
         return found
