@@ -141,17 +141,52 @@ def test_edited_copies_are_found(spark, folder):
     assert len(rows) == len(K.EDITS) and all(r.planted == 240 and r.found >= 0.95 * r.copies > 0 for r in rows)
 
 
+def _letters(prefix, k):
+    return F.concat(F.lit(prefix), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(chr(107 + k % 10) + chr(97 + k // 10)))
+
+
+def _plain_documents(spark, n, first, lang, prefix, more=""):
+    text = F.concat_ws(" ", *[_letters(prefix, k) for k in range(60)], F.lit(more))
+    return spark.range(n).select((F.col("id") + first).alias("doc_id"), F.lit(lang).alias("lang"), text.alias("text"))
+
+
 def test_cutoffs_count_every_document(spark, tmp_path):
-    """600 documents of a small language are enough for a cutoff, however many others there are."""
-    text = lambda c: F.concat_ws(" ", *[F.concat(F.lit(c), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(chr(107 + k))) for k in range(10)])
-    big = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), text("p").alias("text"))
-    small = spark.range(600).select((F.col("id") + 100_000).alias("doc_id"), F.lit("und").alias("lang"), text("q").alias("text"))
-    again = spark.range(5).select((F.col("id") + 200_000).alias("doc_id"), F.lit("und").alias("lang"), F.repeat(F.lit("a b c d e f g h "), 5).alias("text"))
-    big.union(small).union(again).write.parquet(f"{tmp_path}/documents.parquet")
+    """600 documents of a small language are enough for a cutoff, however many others there are; ten are not."""
+    docs = _plain_documents(spark, 8000, 0, "en", "p").union(_plain_documents(spark, 600, 10_000, "und", "q")).union(_plain_documents(spark, 10, 20_000, "fr", "r"))
+    again = _plain_documents(spark, 5, 30_000, "und", "s", "a b c d e f g h " * 9).union(_plain_documents(spark, 5, 40_000, "fr", "t", "a b c d e f g h " * 9))
+    docs.union(again).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.stratum: r for r in R.p9_cutoffs(spark, str(tmp_path)).collect()}
-    assert {s: (r.n_good, r.certified) for s, r in got.items()} == {"en": (60_000, True), "un": (600, True)}
-    shares = R.p9_shares(spark, str(tmp_path)).where("refused").collect()
-    assert sorted(r.doc_id for r in shares) == [200_000 + i for i in range(5)]
+    assert {s: r.certified for s, r in got.items()} == {"en": True, "un": True, "fr": False, "*": True}
+    assert all(0.15 < r.cutoff <= 0.3 and r.bound <= 0.02 for r in got.values() if r.certified)
+    assert all(r.held_refused <= 0.04 * r.held_good and r.held_caught == r.held_spam for s, r in got.items() if s in ("en", "un"))
+    want = sorted([30_000 + i for i in range(5)] + [40_000 + i for i in range(5)])
+    assert sorted(r.doc_id for r in R.p9_shares(spark, str(tmp_path)).where("refused").collect()) == want
+    assert sorted(r.doc_id for r in R.p9_found(spark, str(tmp_path)).collect()) == want
+
+
+def test_a_cutoff_changes_what_is_found(spark, tmp_path, monkeypatch):
+    docs = _plain_documents(spark, 6, 0, "en", "p", "a b c d e f g h " * 6).union(_plain_documents(spark, 6, 10, "de", "q", "a b c d e f g h " * 6))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert R.p9_found(spark, str(tmp_path)).count() == 12  # nothing certified: the exact check alone
+    cut = spark.createDataFrame([("en", 0.9), ("de", None), ("*", 0.3)], "stratum string, cutoff double")
+    monkeypatch.setattr(R, "risk_controlled_cutoffs", lambda *a, **k: cut)
+    assert sorted(r.doc_id for r in R.p9_found(spark, str(tmp_path)).collect()) == list(range(10, 16))
+
+
+def test_planted_cases_have_the_share_of_their_label():
+    rng = random.Random(11)
+    spam = wrong = 0
+    for _ in range(300):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(30, 300))]
+        case = R.planted_case(base, np.zeros(len(base), bool))
+        assert (case is None) == (len(base) < R.CASE)
+        if case:
+            n, again = R.repeated_terms([case[0]])
+            # a copy put into another one breaks it, so spam may measure a little less
+            wrong += case[1] != (again[0] >= R.SPAM * n[0])
+            assert case[1] or again[0] < R.SPAM * n[0]
+            spam += case[1]
+    assert 40 < spam < 110 and wrong < 0.1 * spam
 
 
 def test_binomial_sum_over_many():

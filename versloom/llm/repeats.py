@@ -2,15 +2,24 @@
 
 Each document is measured for repeated phrases, sentences and paragraphs.
 Method of the decision: risk-controlled thresholds. On a labelled holdout, for
-every stratum, cutoffs are tested from the strictest down; a cutoff counts as
-safe while the exact binomial test rejects that more than ``risk`` of the good
-documents would be refused, at an error level divided by the number of strata
-(Bonferroni), with the fixed order of the cutoffs taking care of the rest.
+every stratum and for all together, cutoffs are tested from the strictest down;
+a cutoff counts as safe while the exact binomial test rejects that more than
+``risk`` of the good documents would be refused, at an error level divided by
+the number of tests (Bonferroni), with the fixed order of the cutoffs taking
+care of the rest. Documents at or above the cutoff of their stratum are
+candidates, and the exact definition is checked on those.
+
+The holdout is made from every document: its own repetition is taken out and
+repetition of a known share is planted, so that the label is known without
+being measured. Three of four cases set the cutoffs, the fourth shows what they
+refuse and what they catch.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from math import exp, lgamma, log, log1p
 
@@ -27,6 +36,8 @@ from versloom.tables import table
 
 #: Terms of a phrase, and characters that are measured at once.
 PHRASE, SLICE = 8, 2_000_000
+#: Fewest terms of a case of the holdout, and from which share on repetition is spam.
+CASE, SPAM = 40, 0.3
 _SENTENCE = re.compile(r"[.!?]+[\"'”’»)\]]*\s+|\n+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -49,17 +60,17 @@ def _repeated_exact(ids: np.ndarray, phrase: int) -> np.ndarray:
     return flags
 
 
-def repeated_terms(docs: list[list[str]], phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
-    """Number of terms of each document, and of those in a phrase that also occurs earlier in it."""
+def repeated_flags(docs: list[list[str]], phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
+    """Number of terms of each document, and for every term of all whether it lies in a phrase that also occurs earlier in its document."""
     lengths = np.fromiter((len(d) for d in docs), np.int64, len(docs))
     n = int(lengths.sum())
     if n == 0:
-        return lengths, np.zeros(len(docs), np.int64)
+        return lengths, np.zeros(0, bool)
     flat = pa.array([t for d in docs for t in d], pa.string()).dictionary_encode()
     ids = flat.indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(len(docs)), lengths)
     if n < phrase:
-        return lengths, np.zeros(len(docs), np.int64)
+        return lengths, np.zeros(n, bool)
     codes, width = _mixed(ids), n - phrase + 1
     h = _mixed(doc[:width])
     for k in range(phrase):
@@ -80,7 +91,49 @@ def repeated_terms(docs: list[list[str]], phrase: int = PHRASE) -> tuple[np.ndar
     for d in np.unique(doc[later[~equal]]):  # phrases that differ behind the same hash
         lo, hi = np.searchsorted(doc, [d, d + 1])
         flags[lo:hi] = _repeated_exact(ids[lo:hi], phrase)
-    return lengths, np.bincount(doc, flags, len(docs)).astype(np.int64)
+    return lengths, flags
+
+
+def _per_document(lengths: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate(([0], np.cumsum(flags)))[np.concatenate(([0], np.cumsum(lengths)))])
+
+
+def repeated_terms(docs: list[list[str]], phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
+    """Number of terms of each document, and of those in a phrase that also occurs earlier in it."""
+    lengths, flags = repeated_flags(docs, phrase)
+    return lengths, _per_document(lengths, flags)
+
+
+def planted_case(terms_: list[str], repeated: np.ndarray, phrase: int = PHRASE) -> tuple[list[str], bool] | None:
+    """A document with repetition of a known share, made from ``terms_`` without what they repeat, and whether it is spam; None below ``CASE`` terms.
+
+    A stretch of the document is put in again at random places: one case of
+    four up to 35 to 95 % of the terms (spam), the others up to 22 % (good, as
+    documents with a refrain). Good ones also get lines shorter than a phrase
+    many times, as lists and formulas have. The choice follows from the terms.
+    """
+    base = [t for t, again in zip(terms_, repeated.tolist(), strict=True) if not again]
+    n = len(base)
+    if n < CASE:
+        return None
+    rng = random.Random(zlib.crc32(" ".join(base).encode()))
+    spam = rng.random() < 0.25
+    share = rng.uniform(0.35, 0.95) if spam else rng.uniform(0.0, 0.22)
+    length = rng.randint(phrase, max(phrase, min(5 * phrase, n // 4)))
+    copies = max(int(spam), int(share / (1 - share) * n / length))
+    at = rng.randrange(n - length + 1)
+    parts = [base[at : at + length]] * copies
+    if not spam:
+        k = rng.randrange(n - phrase)
+        parts += [base[k : k + rng.randint(2, phrase - 2)]] * rng.randint(0, n // 20)
+    out, last = [], 0
+    for p, part in sorted(zip((rng.randrange(n + 1) for _ in parts), parts, strict=True), key=lambda x: x[0]):
+        out += base[last:p] + part
+        last = p
+    out += base[last:]
+    return out, copies * length >= SPAM * len(out)
+
+
 
 
 def _segment_share(text: str, pattern: re.Pattern[str]) -> float:
@@ -98,9 +151,10 @@ def _segment_share(text: str, pattern: re.Pattern[str]) -> float:
 
 
 _MEASURES = T.StructType().add("n_terms", "long").add("repeated_terms", "long").add("phrase_share", "double").add("sentence_share", "double").add("paragraph_share", "double")
+_CASES = T.StructType().add("case_spam", "boolean").add("case_share", "double")
 
 
-def repetition(df: DataFrame, text: str, phrase: int = PHRASE) -> DataFrame:
+def repetition(df: DataFrame, text: str, phrase: int = PHRASE, cases: bool = False) -> DataFrame:
     """``df`` without ``text``, with measures of what its text repeats.
 
     ``n_terms`` and ``repeated_terms`` are exact: a term is repeated if it lies
@@ -108,14 +162,21 @@ def repetition(df: DataFrame, text: str, phrase: int = PHRASE) -> DataFrame:
     ``phrase_share`` is their ratio; ``sentence_share`` and ``paragraph_share``
     are the shares of the characters in sentences (lines end sentences) and
     paragraphs (blank lines end them) seen before. A null, empty or very short
-    text repeats nothing: all measures are 0. Columns of ``df`` named like a
-    measure are replaced. Repeated rows are measured each for itself. Texts are
-    read whole; no shuffle is needed.
+    text repeats nothing: all measures are 0. With ``cases`` each row also has
+    ``case_spam``, the label of the case planted in its text, and
+    ``case_share``, the phrase share measured in it; null for texts too short
+    for one. Columns of ``df`` named like a measure are replaced. Repeated rows
+    are measured each for itself. Texts are read whole; no shuffle is needed.
     """
-    names = [c for c in df.columns if c != text and c not in _MEASURES.names]
+    added = [*_MEASURES.fields, *(_CASES.fields if cases else [])]
+    taken = {f.name for f in added}
+    names = [c for c in df.columns if c != text and c not in taken]
     row = F.struct(*names).alias("_row") if names else F.struct(F.lit(1).alias("_none")).alias("_row")
     source = df.select(row, F.col(text).cast("string").alias("_text"))
 
+    def share_of(again: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.divide(again, n, out=np.zeros(len(n)), where=n > 0)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("_text")
@@ -124,15 +185,21 @@ def repetition(df: DataFrame, text: str, phrase: int = PHRASE) -> DataFrame:
             while lo < len(column):
                 hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE, "right")))
                 texts = [v or "" for v in column.slice(lo, hi - lo).to_pylist()]
-                n, again = repeated_terms([terms(t) for t in texts], phrase)
-                share = np.divide(again, n, out=np.zeros(len(n)), where=n > 0)
-                parts = [[_segment_share(t, p) for t in texts] for p in (_SENTENCE, _PARAGRAPH)]
-                rest = batch.column("_row").slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([rest, pa.array(n), pa.array(again), pa.array(share), *(pa.array(p, pa.float64()) for p in parts)], names=["_row", *_MEASURES.names])
+                docs = [terms(t) for t in texts]
+                n, flags = repeated_flags(docs, phrase)
+                again = _per_document(n, flags)
+                columns = [pa.array(n), pa.array(again), pa.array(share_of(again, n))]
+                columns += [pa.array([_segment_share(t, p) for t in texts], pa.float64()) for p in (_SENTENCE, _PARAGRAPH)]
+                if cases:
+                    made = [planted_case(d, f, phrase) for d, f in zip(docs, np.split(flags, np.cumsum(n)[:-1]), strict=True)]
+                    k, more = repeated_terms([c[0] if c else [] for c in made], phrase)
+                    shares = share_of(more, k)
+                    columns += [pa.array([c and c[1] for c in made], pa.bool_()), pa.array([s if c else None for c, s in zip(made, shares.tolist(), strict=True)], pa.float64())]
+                yield pa.RecordBatch.from_arrays([batch.column("_row").slice(lo, hi - lo), *columns], names=["_row", *(f.name for f in added)])
                 lo = hi
 
-    out = source.mapInArrow(measure, T.StructType([source.schema["_row"], *_MEASURES.fields]))
-    return out.select(*[F.col("_row")[c].alias(c) for c in names], *_MEASURES.names)
+    out = source.mapInArrow(measure, T.StructType([source.schema["_row"], *added]))
+    return out.select(*[F.col("_row")[c].alias(c) for c in names], *(f.name for f in added))
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
@@ -165,23 +232,30 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return hi
 
 
+#: The stratum that stands for all together.
+EVERY = "*"
+
+
 def risk_controlled_cutoffs(holdout: DataFrame, stratum: str, score: str, good: str, risk: float = 0.02, error: float = 0.05, grid: int = 100) -> DataFrame:
     """(stratum, cutoff, n_good, refused, bound, certified): the lowest score at which each stratum may refuse.
 
     ``holdout`` has a stratum, a score from 0 to 1 and whether the record is
     good. Cutoffs are tried from 1 down in ``grid`` steps; the lowest one before
-    the first that fails is kept. With probability 1 - ``error`` no stratum
-    refuses more than ``risk`` of its good records. A stratum with too few
-    records to certify any cutoff has the cutoff null and ``certified`` false.
-    What reaches the driver is one row for each stratum and step.
+    the first that fails is kept. The stratum ``*`` holds all records. With
+    probability 1 - ``error`` no stratum refuses more than ``risk`` of its good
+    records. A stratum with too few records to certify any cutoff has the
+    cutoff null and ``certified`` false. Records with a null stratum, score or
+    label don't count. What reaches the driver is one row for each stratum and
+    step.
     """
     step = F.least(F.lit(grid), F.floor(F.col(score) * grid + 1e-9)).cast("int")
-    rows = holdout.where(good).groupBy(F.col(stratum).alias("stratum"), step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
-    by: dict = {}
+    known = holdout.where(F.col(stratum).isNotNull() & F.col(score).isNotNull() & F.col(good).isNotNull())
+    rows = known.groupBy(F.col(stratum).alias("stratum"), step.alias("step")).agg(F.count_if(good).alias("n")).collect()
+    by: dict = {EVERY: {}}
     for r in rows:
-        by.setdefault(r["stratum"], {})[r["step"]] = r["n"]
-    for r in holdout.select(stratum).distinct().collect():
-        by.setdefault(r[0], {})
+        for s in (r["stratum"], EVERY):
+            counts = by.setdefault(s, {})
+            counts[r["step"]] = counts.get(r["step"], 0) + r["n"]
     out = []
     for s, counts in by.items():
         n, refused, best = sum(counts.values()), 0, None
@@ -194,33 +268,40 @@ def risk_controlled_cutoffs(holdout: DataFrame, stratum: str, score: str, good:
     return holdout.sparkSession.createDataFrame(out, "stratum string, cutoff double, n_good long, refused long, bound double, certified boolean")
 
 
-def _measured(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Measured documents with their strata, and the cutoffs.
+def with_cutoff(df: DataFrame, stratum: str, cutoffs: DataFrame) -> DataFrame:
+    """``df`` with the ``cutoff`` of its stratum, or that of all together where its own is not certified; null where neither is.
 
-    Every document counts for the cutoff of its stratum; the labels follow the
-    definition of the problem: good is a document of which less than 30 % of
-    the terms repeat.
+    ``cutoffs`` has one row a stratum, as many as there are languages.
     """
-    docs = table(spark, folder, "documents").select("doc_id", F.lower(F.substring(F.trim("lang"), 1, 2)).alias("stratum"), "text")
-    m = staged(repetition(docs.withColumn("stratum", F.coalesce("stratum", F.lit("?"))), "text"), "repeats")
-    m = m.withColumn("score", F.greatest("phrase_share", "sentence_share", "paragraph_share"))
-    return m, risk_controlled_cutoffs(m.withColumn("good", ~_definition()), "stratum", "score", "good")
+    own = cutoffs.where(F.col("stratum") != EVERY).select(F.col("stratum").alias(stratum), F.col("cutoff").alias("_own"))
+    whole = cutoffs.where(F.col("stratum") == EVERY).agg(F.max("cutoff").alias("_every"))  # one row
+    both = df.drop("cutoff").join(F.broadcast(own), stratum, "left").crossJoin(F.broadcast(whole))
+    return both.withColumn("cutoff", F.coalesce("_own", "_every")).drop("_own", "_every")
 
 
-def _definition():
-    return (F.col("n_terms") > 0) & (F.col("repeated_terms") * 10 >= F.col("n_terms") * 3)
+def _measured(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Measured documents with their strata (languages), and the cutoffs set by three of four cases."""
+    docs = table(spark, folder, "documents").select("doc_id", F.lower(F.substring(F.trim("lang"), 1, 2)).alias("stratum"), "text")
+    m = staged(repetition(docs.withColumn("stratum", F.coalesce("stratum", F.lit("?"))), "text", cases=True), "repeats")
+    m = m.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
+    return m, risk_controlled_cutoffs(m.where("NOT held").withColumn("good", ~F.col("case_spam")), "stratum", "case_share", "good")
 
 
 def _decided(spark: SparkSession, folder: str) -> DataFrame:
+    """Measured documents with ``refused``; without a certified cutoff none is refused on its score and ``open`` is true."""
     m, cutoffs = _measured(spark, folder)
-    # one row a stratum
-    return m.join(F.broadcast(cutoffs.select("stratum", "cutoff", "certified")), "stratum", "left").withColumn("refused", F.coalesce(F.col("score") >= F.col("cutoff"), F.lit(False)))
+    refused = F.coalesce(F.col("phrase_share") >= F.col("cutoff"), F.lit(False))
+    return with_cutoff(m, "stratum", cutoffs).withColumn("refused", refused).withColumn("open", F.col("cutoff").isNull())
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents at or above the cutoff of their stratum, or above 30 % where that is lower; then the exact check."""
-    near = F.col("score") >= F.least(F.coalesce("cutoff", F.lit(0.3)), F.lit(0.3))
-    return _decided(spark, folder).where(near & _definition()).select("doc_id")
+    """Documents refused at the certified cutoff of their stratum (all where there is none); then the exact check of the definition."""
+    exact = (F.col("n_terms") > 0) & (F.col("repeated_terms") * 10 >= F.col("n_terms") * 3)
+    return _decided(spark, folder).where("refused OR open").where(exact).select("doc_id")
+
+
+def p9_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "n_terms", "repeated_terms")
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,7 +309,13 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
-    return _measured(spark, folder)[1]
+    """The cutoffs, and what they do to the cases that did not set them: good ones and those refused, spam and what is caught."""
+    m, cutoffs = _measured(spark, folder)
+    held = with_cutoff(m.where("held AND case_spam IS NOT NULL"), "stratum", cutoffs).withColumn("hit", F.coalesce(F.col("case_share") >= F.col("cutoff"), F.lit(False)))
+    counts = held.groupBy("stratum").agg(
+        F.count_if(~F.col("case_spam")).alias("held_good"), F.count_if(~F.col("case_spam") & F.col("hit")).alias("held_refused"), F.count_if("case_spam").alias("held_spam"), F.count_if(F.col("case_spam") & F.col("hit")).alias("held_caught")
+    )
+    return cutoffs.join(counts, "stratum", "left")
 
 
 _L = "[\\p{L}]"
@@ -238,5 +325,8 @@ g AS (SELECT doc_id, i, array_to_string(ts[i:i + 7], ' ') AS p FROM (SELECT doc_
 a AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS r FROM g) WHERE r > 1),
 c AS (SELECT doc_id, sum(least(8, d)) AS n FROM (SELECT doc_id, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 8) AS d FROM a) GROUP BY doc_id)
 """
-QUERIES = {"p9_found": p9_found, "p9_shares": p9_shares, "p9_cutoffs": p9_cutoffs}
-ORACLE_SQL = {"p9_found": P9_SQL + "SELECT t.doc_id FROM t JOIN c USING (doc_id) WHERE n * 10 >= len(ts) * 3"}
+QUERIES = {"p9_found": p9_found, "p9_terms": p9_terms, "p9_shares": p9_shares, "p9_cutoffs": p9_cutoffs}
+ORACLE_SQL = {
+    "p9_found": P9_SQL + "SELECT t.doc_id FROM t JOIN c USING (doc_id) WHERE n * 10 >= len(ts) * 3",
+    "p9_terms": P9_SQL + "SELECT t.doc_id, CAST(coalesce(len(ts), 0) AS BIGINT) AS n_terms, CAST(coalesce(n, 0) AS BIGINT) AS repeated_terms FROM t LEFT JOIN c USING (doc_id)",
+}
