@@ -236,12 +236,12 @@ def upper_bound(k: int, n: int, error: float) -> float:
 EVERY = "*"
 
 
-def risk_controlled_cutoffs(holdout: DataFrame, stratum: str, score: str, good: str, risk: float = 0.02, error: float = 0.05, grid: int = 100) -> DataFrame:
+def risk_controlled_cutoffs(holdout: DataFrame, stratum: str, score: str, good: str, risk: float = 0.02, error: float = 0.05, grid: int = 100, strictest: float = 1.0) -> DataFrame:
     """(stratum, cutoff, n_good, refused, bound, certified): the lowest score at which each stratum may refuse.
 
     ``holdout`` has a stratum, a score from 0 to 1 and whether the record is
-    good. Cutoffs are tried from 1 down in ``grid`` steps; the lowest one before
-    the first that fails is kept. The stratum ``*`` holds all records. With
+    good. Cutoffs are tried from ``strictest`` down in steps of 1 / ``grid``;
+    the lowest one before the first that fails is kept. The stratum ``*`` holds all records. With
     probability 1 - ``error`` no stratum refuses more than ``risk`` of its good
     records. A stratum with too few records to certify any cutoff has the
     cutoff null and ``certified`` false. Records with a null stratum, score or
@@ -258,8 +258,9 @@ def risk_controlled_cutoffs(holdout: DataFrame, stratum: str, score: str, good:
             counts[r["step"]] = counts.get(r["step"], 0) + r["n"]
     out = []
     for s, counts in by.items():
-        n, refused, best = sum(counts.values()), 0, None
-        for k in range(grid, 0, -1):
+        first = round(strictest * grid)
+        n, refused, best = sum(counts.values()), sum(c for k, c in counts.items() if k > first), None
+        for k in range(first, 0, -1):
             refused += counts.get(k, 0)
             if not n or binomial_cdf(refused, n, risk) > error / len(by):
                 break
@@ -280,11 +281,16 @@ def with_cutoff(df: DataFrame, stratum: str, cutoffs: DataFrame) -> DataFrame:
 
 
 def _measured(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Measured documents with their strata (languages), and the cutoffs set by three of four cases."""
+    """Measured documents with their strata (languages), and the cutoffs set by three of four cases.
+
+    A cutoff above ``SPAM`` would let documents through that the problem asks
+    for, so none is tried; where ``SPAM`` itself refuses too many good
+    documents, the stratum has no cutoff of its own.
+    """
     docs = table(spark, folder, "documents").select("doc_id", F.lower(F.substring(F.trim("lang"), 1, 2)).alias("stratum"), "text")
     m = staged(repetition(docs.withColumn("stratum", F.coalesce("stratum", F.lit("?"))), "text", cases=True), "repeats")
     m = m.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
-    return m, risk_controlled_cutoffs(m.where("NOT held").withColumn("good", ~F.col("case_spam")), "stratum", "case_share", "good")
+    return m, risk_controlled_cutoffs(m.where("NOT held").withColumn("good", ~F.col("case_spam")), "stratum", "case_share", "good", strictest=SPAM)
 
 
 def _decided(spark: SparkSession, folder: str) -> DataFrame:
