@@ -89,6 +89,39 @@ def test_search_beats_best_fit():
     assert sorted(x for b in out for x in b) == sorted(many) and len(out) <= len(K.best_fit(many, 4096))
 
 
+def test_fillings_are_all_and_in_order():
+    """Every multiset of the items that leaves at most ``waste`` and that no single larger item could improve, fullest first."""
+    from itertools import combinations
+
+    rng = random.Random(4)
+    for _ in range(60):
+        items, room = sorted(rng.randint(1, 20) for _ in range(rng.randint(0, 9))), rng.randint(1, 40)
+        got = list(K.fillings(items, room, 6))
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True) and len(set(got)) == len(got)
+        subsets = {tuple(sorted(c, reverse=True)) for n in range(len(items) + 1) for c in combinations(items, n) if room - 6 <= sum(c) <= room}
+        assert set(got) <= subsets
+        if subsets:
+            assert sum(got[0]) == max(map(sum, subsets)) and {f for f in subsets if sum(f) == room} <= set(got)
+
+
+def test_rounds_lose_little(spark):
+    """Batches of 64 lose no container each: the whole stays within two of the bound, below best fit."""
+    rng = random.Random(10)
+    sizes = [int(rng.lognormvariate(6.9, 0.6)) % 4096 + 1 for _ in range(3000)]
+    out = K.pack(spark.createDataFrame(list(enumerate(sizes)), "doc long, tokens int"), "doc", "tokens", 4096, batch=256)
+    n = out.select("container").distinct().count()
+    assert out.groupBy("container").agg(F.sum("size").alias("u")).where("u > 4096").count() == 0
+    assert out.count() == 3000 and n <= K.lower_bound(sizes, 4096) + 3 and n <= len(K.best_fit(sizes, 4096))
+
+
+def test_equal_rows_are_dealt_out(spark):
+    """Two thirds null items of one size: repeated rows go to all batches."""
+    df = spark.range(1200).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc"), F.lit(1000).alias("tokens"))
+    out = K.pack(df, "doc", "tokens", 4096, batch=100)
+    assert out.count() == 1200 and out.where("doc IS NULL").count() == 800
+    assert out.groupBy("container").agg(F.sum("size").alias("u")).where("u > 4000").count() == 0 and out.select("container").distinct().count() == 300
+
+
 def test_pack_table(spark):
     rng = random.Random(9)
     rows = [(i, rng.choice([0, 1, 700, 4096, 4097, 9000, rng.randint(1, 3000)])) for i in range(1500)] + [(9999, None), (9999, None), (None, 10)]
