@@ -96,6 +96,30 @@ def test_hot_anchor_in_cells(spark):
     assert len(got) == 150 * 149 // 2
 
 
+def test_hot_anchors_leave_a_bucket_early(spark):
+    """Entries of an anchor that half of all texts hold, in small batches: what a bucket holds stays bounded, and no pair is lost."""
+    rng = np.random.RandomState(2)
+    h = np.concatenate((np.full(3000, 5 << 8), rng.randint(100, 1500, 3000) << 8)).astype(np.uint64)
+    node = rng.randint(0, 2500, len(h))
+    order = rng.permutation(len(h))
+    h, node = h[order], node[order]
+    rows = [P._packed(3, False, h[lo : lo + 100], node[lo : lo + 100].astype(np.int64), np.ones(len(h[lo : lo + 100]))) for lo in range(0, len(h), 100)]
+    rows.append(P._packed(3, True, np.array([777 << 8], np.uint64), np.array([1], np.int64), np.ones(1)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(r, strict=True), P._PACKED_ARROW, strict=True)], names=P._PACKED.names) for r in rows]
+    held, P.HELD = P.HELD, 500
+    try:
+        out = [x for b in P._join_bucket()((pa.scalar(3),), iter(batches)) for x in b.to_pylist()]
+    finally:
+        P.HELD = held
+    entries = {(int(x) >> 8, int(n)) for x, n in zip(h, node, strict=True)}
+    hot = {(r["a"], r["b"]) for r in out if r["hot"]}
+    assert {e for e in entries if e[0] in (5, 777)} <= hot <= entries
+    members = {}
+    for x, n in entries - hot:
+        members.setdefault(x, set()).add(n)
+    assert {(r["a"], r["b"]) for r in out if not r["hot"]} == {(a, b) for m in members.values() for a in m for b in m if a < b}
+
+
 def test_long_text_in_segments(spark, monkeypatch):
     rng = random.Random(6)
     long = "".join(rng.choice("abcdefgh ") for _ in range(7_000_000))

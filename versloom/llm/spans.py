@@ -7,9 +7,12 @@ at least ``length`` bytes has an anchor in common, wherever it lies in either
 text. Texts with an anchor in common are compared and their matches extended.
 
 Texts are told apart by their content: records with equal texts are one node
-from the start, and only what is asked for as pairs of records is expanded. The
-texts themselves are moved only where an anchor is shared; anchors travel as
-packed arrays, about eight bytes each, routed by bits of their hash.
+from the start, before any anchor is cut, and only what is asked for as pairs
+of records is expanded. Anchors travel as packed arrays, about eight bytes
+each, routed by bits of their hash. An anchor that many texts of one slice
+share is hot: only one of its entries goes to its bucket, to make it known
+there; the others go to buckets of their own, by slice. So no task loads all
+entries of an anchor, however many texts hold it.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ COVERS = {
     73: (0, 1, 3, 7, 15, 31, 36, 54, 63),
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
 }
-#: Bytes looked at in one go, anchors of a bucket, texts of an anchor that one task pairs, and nodes that are broadcast.
+#: Bytes looked at in one go, anchors of a bucket, texts of an anchor that one task pairs, and digests that are broadcast.
 SLICE, BUCKET, HOT, SMALL = 3_000_000, 1 << 20, 64, 200_000
+#: Texts of one slice that make an anchor hot, and entries that a bucket holds before its hot anchors are taken out.
+LOCAL, HELD = 8, 4 << 20
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...], int]:
@@ -68,10 +73,40 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     return h ^ (h >> np.uint64(32)), owner
 
 
-_PACKED = T.StructType().add("bucket", "integer").add("hashes", "binary").add("nodes", "binary").add("counts", "binary")
+_PACKED = T.StructType().add("bucket", "integer").add("hot", "boolean").add("hashes", "binary").add("nodes", "binary").add("counts", "binary")
+_PACKED_ARROW = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
 _PAIRS = T.StructType().add("a", "long").add("b", "long").add("hot", "boolean")
 
 
+def _packed(bucket: int, hot: bool, h: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> tuple:
+    """A row with the upper 56 bits of every hash; ``counts`` says how many of them belong to each node."""
+    return bucket, hot, (h >> np.uint64(8)).view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), nodes.tobytes(), counts.astype(np.uint32).tobytes()
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    for hot, x, who, n in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hot", "hashes", "nodes", "counts")), strict=True):
+        wide = np.zeros((len(x) // 7, 8), np.uint8)
+        wide[:, :7] = np.frombuffer(x, np.uint8).reshape(-1, 7)
+        yield hot, wide.reshape(-1).view(np.uint64), np.repeat(np.frombuffer(who, np.int64), np.frombuffer(n, np.uint32))
+
+
+def _hot_members(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which entries belong to anchors that more than ``LOCAL`` texts of the slice hold."""
+    order = np.argsort(h, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+    sizes = np.diff(np.append(edge, len(h)))
+    many = np.zeros(len(h), bool)
+    many[order] = np.repeat(sizes > LOCAL, sizes)
+    at = np.flatnonzero(many)
+    if not len(at):
+        return many
+    # the same text may hold an anchor more than once
+    pairs = np.unique(np.stack((h[at], owner[at].astype(np.uint64))), axis=1)
+    values, n = np.unique(pairs[0], return_counts=True)
+    many[at] = np.isin(h[at], values[n > LOCAL])
+    return many
+
+
 def _packed_anchors(length: int, buckets: int):
     period = cover_for(length)[0]
     segment = max(period, SLICE // period * period)
@@ -92,35 +127,40 @@ def _packed_anchors(length: int, buckets: int):
                     hi += 1
                 who, starts, ends = (np.array(x) for x in zip(*cuts[lo:hi], strict=True))
                 h, owner = anchors(data, starts, ends, length)
-                bucket = (h & np.uint64(buckets - 1)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                hot = _hot_members(h, owner) if len(h) else np.zeros(0, bool)
                 rows = []
-                for b in range(buckets):
-                    part = order[edges[b] : edges[b + 1]]
-                    if len(part):
-                        own, n = np.unique(owner[part], return_counts=True)
-                        rows.append((b, (h[part] >> np.uint64(8)).view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), nodes[who[own]].tobytes(), n.astype(np.uint32).tobytes()))
+                for is_hot in (False, True):
+                    at = np.flatnonzero(hot == is_hot)
+                    if is_hot and len(at):
+                        # one entry makes the anchor known in its bucket, all go to a bucket of this slice
+                        known = at[np.unique(h[at], return_index=True)[1]]
+                        for b in np.unique(h[known] & np.uint64(buckets - 1)).tolist():
+                            part = known[h[known] & np.uint64(buckets - 1) == b]
+                            rows.append(_packed(int(b), True, h[part], nodes[who[owner[part]]], np.ones(len(part))))
+                            mine = at[h[at] & np.uint64(buckets - 1) == b]
+                            own, n = np.unique(owner[mine], return_counts=True)
+                            rows.append(_packed(-1 - int((nodes[who[0]] ^ b) % buckets), True, h[mine], nodes[who[own]], n))
+                    elif len(at):
+                        bucket = (h[at] & np.uint64(buckets - 1)).astype(np.int64)
+                        order = at[np.argsort(bucket, kind="stable")]
+                        edges = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
+                        for b in range(buckets):
+                            part = order[edges[b] : edges[b + 1]]
+                            if len(part):
+                                own, n = np.unique(owner[part], return_counts=True)
+                                rows.append(_packed(b, False, h[part], nodes[who[own]], n))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=_PACKED.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKED_ARROW, strict=True)], names=_PACKED.names)
                 lo = hi
 
     return emit
 
 
-def _pairs_of(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of nodes with a hash in common, and the members (hash, node) of hashes that too many share."""
-    order = np.lexsort((node, h))
-    h, node = h[order], node[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-    h, node = h[fresh], node[fresh]
-    edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    size = np.repeat(np.diff(np.append(edge, len(h))), np.diff(np.append(edge, len(h))))
-    hot = size > HOT
+def _pairs_of(h: np.ndarray, node: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of nodes with a hash in common, and the members (hash, node) of hashes that are in ``known`` or that too many share."""
+    h, node, hot = _split_hot(h, node, known)
     hot_h, hot_node = h[hot], node[hot]
-    keep = (size > 1) & ~hot
-    h, node = h[keep], node[keep]
+    h, node = h[~hot], node[~hot]
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(1, HOT):
         same = np.flatnonzero(h[k:] == h[:-k]) if len(h) > k else []
@@ -132,17 +172,51 @@ def _pairs_of(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return pairs[0], pairs[1], hot_h, hot_node
 
 
-def _join_bucket(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, nodes = [], []
-    for batch in batches:
-        for x, who, n in zip(*(batch.column(c).to_pylist() for c in ("hashes", "nodes", "counts")), strict=True):
-            wide = np.zeros((len(x) // 7, 8), np.uint8)
-            wide[:, :7] = np.frombuffer(x, np.uint8).reshape(-1, 7)
-            hashes.append(wide.reshape(-1).view(np.uint64))
-            nodes.append(np.repeat(np.frombuffer(who, np.int64), np.frombuffer(n, np.uint32)))
-    a, b, hot_h, hot_node = _pairs_of(np.concatenate(hashes), np.concatenate(nodes))
-    salted = hot_h.astype(np.int64) * 4096 + (key[0].as_py() & 4095)
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, salted))), pa.array(np.concatenate((b, hot_node))), pa.array(np.arange(len(a) + len(hot_h)) >= len(a))], names=_PAIRS.names)
+def _split_hot(h: np.ndarray, node: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct entries in order, and which belong to hot hashes."""
+    order = np.lexsort((node, h))
+    h, node = h[order], node[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+    h, node = h[fresh], node[fresh]
+    edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(edge, len(h)))
+    return h, node, np.repeat(sizes > HOT, sizes) | np.isin(h, known)
+
+
+def _join_bucket():
+    """Pairs of a bucket's texts. Where more entries come than are held at a time, hot anchors are passed on at once, so memory follows the number of different anchors."""
+
+    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = key[0].as_py()
+
+        def rows(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b), pa.array(np.full(len(a), hot))], names=_PAIRS.names)
+
+        hashes, nodes, size, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, np.zeros(0, np.uint64)
+        for batch in batches:
+            for hot, h, who in _unpacked(batch):
+                if number < 0:  # a bucket of hot anchors
+                    yield rows(h, who, True)
+                    continue
+                if hot:
+                    known = np.union1d(known, h)
+                    continue
+                hashes.append(h)
+                nodes.append(who)
+                size += len(h)
+            if size > HELD:
+                h, who, many = _split_hot(np.concatenate(hashes), np.concatenate(nodes), known)
+                known = np.union1d(known, h[many])
+                yield rows(h[many], who[many], True)
+                hashes, nodes = [h[~many]], [who[~many]]
+                size = len(hashes[0]) // 2  # what is left is looked through again when as much has come
+        if number >= 0:
+            a, b, hot_h, hot_node = _pairs_of(np.concatenate(hashes), np.concatenate(nodes), known)
+            yield rows(a, b, False)
+            yield rows(hot_h, hot_node, True)
+
+    return join
 
 
 def _hot_pairs(hot: DataFrame) -> DataFrame:
@@ -224,19 +298,16 @@ def shared_spans(texts: DataFrame, text: str, length: int, total_bytes: int) ->
     expected = total_bytes * len(cover) // period
     buckets = 1 << max(6, (expected // BUCKET).bit_length())
     named = texts.where(F.length(text) >= length).select(F.col(text).alias("_text")).withColumn("_digest", F.md5(F.col("_text").cast("binary")))
-    named = named.withColumn("_node", F.conv(F.substring("_digest", 1, 16), 16, -10).cast("long"))
-    packed = named.select("_node", "_text").mapInArrow(_packed_anchors(length, buckets), _PACKED)
-    joined = staged(packed.groupBy("bucket").applyInArrow(_join_bucket, _PAIRS), "pairs")
+    # each text once: what is equal within a task is combined before the exchange
+    named = named.groupBy("_digest").agg(F.first("_text").alias("_text"))
+    own = staged(named.withColumn("_node", F.conv(F.substring("_digest", 1, 16), 16, -10).cast("long")), "texts")
+    packed = own.select("_node", "_text").mapInArrow(_packed_anchors(length, buckets), _PACKED)
+    joined = staged(packed.groupBy("bucket").applyInArrow(_join_bucket(), _PAIRS), "pairs")
     pairs = joined.where("NOT hot").select("a", "b")
     hot = joined.where("hot")
     if hot.limit(1).count():
-        pairs = pairs.unionByName(_hot_pairs(hot.select("a", "b")))
+        pairs = pairs.unionByName(_hot_pairs(hot.select("a", "b").distinct()))
     pairs = staged(pairs.distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-    # broadcast up to a checked number of nodes of 8 bytes, else joined by shuffle
-    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    own = named.join(wanted, "_node", "left_semi").groupBy("_node", "_digest").agg(F.first("_text").alias("_text"))
-    own = staged(own, "texts")
     sides = [own.select(F.col("_node").alias(s), F.col("_digest").alias(f"k{s}"), F.col("_text").alias(f"x{s}")) for s in ("a", "b")]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     low = F.col("ka") < F.col("kb")
@@ -255,8 +326,13 @@ def _current(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
 
 
 def _matches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Current blocks, and the matches between their texts; texts that only outdated rows hold are left out before."""
     current, total = _current(spark, folder)
-    return current, staged(shared_spans(table(spark, folder, "voice_blocks").select("text"), "text", LENGTH, total), "matches")
+    live = current.where(F.col("_chars") >= LENGTH).select("_digest").distinct()
+    # 32 bytes each: broadcast up to a checked number, else joined by shuffle
+    live = F.broadcast(live) if live.limit(SMALL + 1).count() <= SMALL else live
+    texts = table(spark, folder, "voice_blocks").select("text").withColumn("_digest", F.md5(F.col("text").cast("binary")))
+    return current, staged(shared_spans(texts.join(live, "_digest", "left_semi").select("text"), "text", LENGTH, total), "matches")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -277,15 +353,12 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import Window
 
     current, matches = _matches(spark, folder)
-    # a text that only outdated rows hold doesn't count
     live = current.groupBy("_digest").agg(F.count(F.lit(1)).alias("copies"), F.first("_chars").alias("_chars"))
-    names = live.select("_digest")
-    valid = matches.join(names.withColumnRenamed("_digest", "text_a"), "text_a", "left_semi").join(names.withColumnRenamed("_digest", "text_b"), "text_b", "left_semi")
-    sides = valid.select(F.col("text_a").alias("_digest"), F.explode("spans_a").alias("s")).unionByName(valid.select(F.col("text_b").alias("_digest"), F.explode("spans_b").alias("s")))
+    sides = matches.select(F.col("text_a").alias("_digest"), F.explode("spans_a").alias("s")).unionByName(matches.select(F.col("text_b").alias("_digest"), F.explode("spans_b").alias("s")))
     spans = sides.select("_digest", "s.start", "s.end").distinct()
     before = F.max("end").over(Window.partitionBy("_digest").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     covered = spans.withColumn("before", F.coalesce(before, F.lit(0))).groupBy("_digest").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "before"))).alias("covered"))
-    links = valid.select(F.explode(F.array("text_a", "text_b")).alias("_digest")).groupBy("_digest").agg(F.count(F.lit(1)).alias("links"))
+    links = matches.select(F.explode(F.array("text_a", "text_b")).alias("_digest")).groupBy("_digest").agg(F.count(F.lit(1)).alias("links"))
     whole = (F.col("copies") > 1) & (F.col("_chars") >= LENGTH)
     per = live.join(covered, "_digest", "left").join(links, "_digest", "left")
     shared = F.when(whole, F.col("_chars")).otherwise(F.coalesce("covered", F.lit(0)))
@@ -296,3 +369,20 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares}
+_BLOCKS = "b AS (SELECT block_id, text FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY ingested_at DESC) AS r FROM voice_blocks WHERE block_id IS NOT NULL) WHERE r = 1)"
+_WINDOWS = f"""t AS (SELECT md5(text) AS d, any_value(text) AS text, count(*) AS copies, any_value(length(text)) AS chars FROM b GROUP BY 1),
+w AS (SELECT d, i, hash(substr(text, i, {LENGTH})) AS h FROM (SELECT d, text, unnest(range(1, length(text) - {LENGTH} + 2)) AS i FROM t WHERE length(text) >= {LENGTH})),
+k AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT d) > 1), s AS (SELECT w.* FROM w JOIN k USING (h))"""
+ORACLE_SQL = {
+    "p4_found": f"""
+WITH {_BLOCKS}, {_WINDOWS}, p AS (SELECT DISTINCT x.d AS da, y.d AS db FROM s x JOIN s y ON x.h = y.h AND x.d <> y.d UNION SELECT d, d FROM t WHERE copies > 1 AND chars >= {LENGTH}),
+n AS (SELECT block_id, md5(text) AS d FROM b)
+SELECT x.block_id AS block_id_a, y.block_id AS block_id_b FROM p JOIN n x ON x.d = da JOIN n y ON y.d = db WHERE x.block_id < y.block_id
+""",
+    "p4_shares": f"""
+WITH {_BLOCKS}, {_WINDOWS}, l AS (SELECT x.d, count(DISTINCT y.d) AS links FROM s x JOIN s y ON x.h = y.h AND x.d <> y.d GROUP BY x.d),
+c AS (SELECT d, sum(least({LENGTH}, gap)) AS covered FROM (SELECT d, coalesce(lead(i) OVER (PARTITION BY d ORDER BY i) - i, {LENGTH}) AS gap FROM s) GROUP BY d),
+v AS (SELECT d, coalesce(links, 0) AS links, copies, CASE WHEN copies > 1 AND chars >= {LENGTH} THEN chars ELSE coalesce(covered, 0) END AS shared, chars FROM t LEFT JOIN l USING (d) LEFT JOIN c USING (d) WHERE d IS NOT NULL)
+SELECT block_id, d AS text_class, coalesce(links, 0) AS links, coalesce(copies, 1) AS copies, CAST(coalesce(shared, 0) AS BIGINT) AS shared_chars, CAST(coalesce(shared / nullif(chars, 0), 0) AS DOUBLE) AS share FROM (SELECT block_id, md5(text) AS d FROM b) LEFT JOIN v USING (d)
+""",
+}
