@@ -56,9 +56,30 @@ def test_proportions_and_whole_groups(spark):
     assert S.assign_splits(nodes.limit(0), sizes).count() == 0
 
 
+def test_blocks_added_later(spark, folder):
+    """Components are those of a single go; a group keeps its split unless it joins groups of different splits."""
+    got = S.p1_added(spark, folder).collect()
+    once = {r.block_id: r.component for r in S.p1_splits(spark, folder).collect()}
+    assert {r.block_id for r in got} == set(once)
+    mine, groups = {r.block_id: r.component for r in got}, {}
+    for b, c in once.items():
+        groups.setdefault(c, set()).add(mine[b])
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+    by = {}
+    for r in got:
+        by.setdefault(r.component, []).append(r)
+    for rows in by.values():
+        assert len({r.split for r in rows}) == 1
+        before = {r.before for r in rows if r.before}
+        assert rows[0].status == ("new" if not before else "kept" if len(before) == 1 else "quarantined")
+        assert rows[0].status != "kept" or rows[0].split in before
+    assert any(r.before for r in got) and not all(r.before for r in got)
+
+
 def test_splits_hold_on_a_second_run(spark, folder):
-    blocks, table = S.split_blocks(spark, folder)
-    again, _ = S.split_blocks(spark, folder, table)
+    current, works = S.current_blocks(spark, folder, S._ENTITIES), S.table(spark, folder, "works_manifest")
+    blocks, table = S.split_blocks(current, works)
+    again, _ = S.split_blocks(current, works, table)
     assert blocks.select("block_id", "split").exceptAll(again.select("block_id", "split")).count() == 0
     assert again.where("status != 'kept'").count() == 0
     assert blocks.groupBy("component").agg(F.count_distinct("split").alias("d")).where("d > 1").count() == 0

@@ -15,12 +15,15 @@ records is one node with as many links as it has distinct partners.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versloom.llm.blocks import current_blocks, run_number, voice_key, work_key
 from versloom.operators.positions import with_running_total
-from versloom.session import staged
+from versloom.session import shared_dir, staged
 from versloom.tables import table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -127,11 +130,9 @@ def assign_splits(components: DataFrame, sizes: DataFrame, proportions: dict[str
     return per.join(placed, "component", "left").select("component", "n", F.coalesce("split", "_new").alias("split"), "status")
 
 
-def block_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Current blocks as (block_id, run, voice, filename, anchor); the anchor is a node that stands for the block."""
-    blocks = current_blocks(spark, folder, ["run_id", "voice", "filename"])
-    run, voice = run_number(F.col("run_id")), voice_key("voice")
-    named = blocks.select("block_id", run.alias("run"), voice.alias("voice"), "filename")
+def block_entities(blocks: DataFrame) -> DataFrame:
+    """(block_id, run, voice, filename, anchor) of current blocks; the anchor is a node that stands for the block."""
+    named = blocks.select("block_id", run_number(F.col("run_id")).alias("run"), voice_key("voice").alias("voice"), "filename")
     anchor = F.coalesce(F.concat(F.lit("r"), F.col("run").cast("string")), F.concat(F.lit("v"), "voice"), F.concat(F.lit("f"), "filename"), F.concat(F.lit("b"), "block_id"))
     return named.withColumn("anchor", anchor)
 
@@ -142,21 +143,35 @@ def entity_links(blocks: DataFrame, works: DataFrame) -> DataFrame:
     ``works`` has (filename, title). Blocks without any name link to themselves.
     """
     seen = blocks.select("anchor", "voice", "filename").distinct()
-    titles = works.where("filename IS NOT NULL").select("filename", work_key("title").alias("work")).where("work IS NOT NULL").distinct()
+    spellings = works.where("filename IS NOT NULL AND title IS NOT NULL").select("filename", "title").distinct()
+    keys = spellings.select("title").distinct().withColumn("work", work_key("title")).where("work IS NOT NULL")
+    titles = spellings.join(keys, "title").select("filename", "work").distinct()
     to_voice = seen.select(F.col("anchor").alias("a"), F.concat(F.lit("v"), "voice").alias("b"))
     to_work = seen.select("anchor", "filename").distinct().join(titles, "filename").select(F.col("anchor").alias("a"), F.concat(F.lit("w"), "work").alias("b"))
     return to_voice.unionByName(to_work).unionByName(seen.select(F.col("anchor").alias("a"), F.col("anchor").alias("b"))).where("b IS NOT NULL").distinct()
 
 
-def grouped_blocks(spark: SparkSession, folder: str, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Blocks with anchors, and the components of their entities."""
-    blocks = staged(block_entities(spark, folder), "blocks")
-    return blocks, update_components(entity_links(blocks, table(spark, folder, "works_manifest")), previous)
+_ENTITIES = ["run_id", "voice", "filename"]
+
+
+def save_components(nodes: DataFrame, folder: str) -> None:
+    """Writes the component table (node, component, split) to ``folder``, a place of the caller that outlives the session."""
+    nodes.select("node", "component", "split").write.mode("overwrite").parquet(folder)
+
+
+def load_components(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("node string, component string, split string").parquet(folder)
 
 
-def split_blocks(spark: SparkSession, folder: str, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(block_id, component, split, status) and the component table (node, component, split) to persist for the next time."""
-    blocks, components = grouped_blocks(spark, folder, previous)
+def split_blocks(blocks: DataFrame, works: DataFrame, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(block_id, component, split, status) of ``blocks`` and the component table (node, component, split) to save for the next time.
+
+    ``blocks`` has one row for each block, with run_id, voice and filename;
+    ``works`` has (filename, title). ``previous`` is the table saved the last
+    time: its components keep their splits however many blocks come to them.
+    """
+    blocks = staged(block_entities(blocks), "blocks")
+    components = update_components(entity_links(blocks, works), previous)
     sizes = blocks.groupBy(F.col("anchor").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     splits = staged(assign_splits(components, sizes), "splits")
     nodes = components.join(splits, "component").select("node", "component", "split", "status")
@@ -164,7 +179,8 @@ def split_blocks(spark: SparkSession, folder: str, previous: DataFrame | None =
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    blocks, components = grouped_blocks(spark, folder)
+    blocks = staged(block_entities(current_blocks(spark, folder, _ENTITIES)), "blocks")
+    components = update_components(entity_links(blocks, table(spark, folder, "works_manifest")))
     run = F.when(F.col("node").startswith("r"), F.expr("try_cast(substring(node, 2) AS bigint)"))
     groups = components.groupBy("component").agg(F.count(run).alias("runs"), F.min(run).alias("group_run")).where("runs > 1")
     member = components.join(groups, "component").select(F.col("node").alias("anchor"), "group_run")
@@ -172,7 +188,48 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
-    return split_blocks(spark, folder)[0]
+    return split_blocks(current_blocks(spark, folder, _ENTITIES), table(spark, folder, "works_manifest"))[0]
+
 
+def p1_added(spark: SparkSession, folder: str) -> DataFrame:
+    """(block_id, component, split, status, before): all current blocks, split in two goes.
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits}
+    First the blocks ingested up to the median time are split and their
+    component table is saved; then all are split with that table. ``before``
+    is the split of the first go, null for blocks that came later.
+    """
+    blocks = current_blocks(spark, folder, ["ingested_at", *_ENTITIES])
+    works = table(spark, folder, "works_manifest")
+    when = F.col("ingested_at").cast("timestamp").cast("double")
+    middle = blocks.agg(F.percentile_approx(when, 0.5).alias("t")).first()["t"]
+    early = blocks.where(when <= F.lit(middle or 0.0))
+    first, nodes = split_blocks(early, works)
+    place = os.path.join(shared_dir(spark), "components", uuid.uuid4().hex)
+    save_components(nodes, place)
+    then, _ = split_blocks(blocks, works, load_components(spark, place))
+    return then.join(first.select("block_id", F.col("split").alias("before")), "block_id", "left")
+
+
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_added": p1_added}
+_NUMBER = "(?:[0-9]+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten)"
+_ORDINAL = r"(?:[0-9]+\s*(?:st|nd|rd|th)|first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|new|revised|enlarged)"
+_CLOSING = rf"(?s)^(.+?)[\s,;:.()\[\]–—\"”-]\s*(?:(?:volume|vol|part|pt|tome|edition|ed)\b\.?\s*{_NUMBER}|{_ORDINAL}\s+(?:edition|ed)\b)[\s.,;:)\]]*$"
+_BARE = "trim(lower(strip_accents(title)))"
+for _ in range(3):
+    _BARE = rf"rtrim(regexp_replace({_BARE}, '{_CLOSING}', '\1'))"
+_WORDS = rf"regexp_extract_all(replace(replace({_BARE}, chr(39), ''), '’', ''), '[\p{{L}}\p{{N}}]+')"
+_VOICE = r"NULLIF(NULLIF(trim(regexp_replace(lower(strip_accents(voice)), '\([^()]*\)|\[[^\[\]]*\]', ' ', 'g')), ''), 'unknown')"
+ORACLE_SQL = {
+    "p1_found": f"""
+WITH RECURSIVE c AS (SELECT block_id, TRY_CAST(NULLIF(regexp_replace(run_id, '[^0-9]', '', 'g'), '') AS BIGINT) AS run, filename, {_VOICE} AS voice
+  FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY ingested_at DESC) AS r FROM voice_blocks) WHERE r = 1),
+w AS (SELECT filename, {_WORDS} AS ws FROM works_manifest WHERE filename IS NOT NULL AND title IS NOT NULL),
+w1 AS (SELECT filename, CASE WHEN len(ws) > 1 AND ws[1] IN ('a', 'an', 'the') THEN ws[2:] ELSE ws END AS ws FROM w),
+w2 AS (SELECT DISTINCT filename, array_to_string(CASE WHEN len(ws) > 1 AND ws[-1] IN ('a', 'an', 'the') THEN ws[:-2] ELSE ws END, ' ') AS work FROM w1 WHERE len(ws) > 0),
+m AS (SELECT DISTINCT block_id, 'r' || run AS node, run FROM c WHERE run IS NOT NULL UNION SELECT block_id, 'v' || voice, NULL FROM c WHERE voice IS NOT NULL UNION SELECT block_id, 'w' || work, NULL FROM c JOIN w2 USING (filename)),
+e AS (SELECT DISTINCT x.node AS a, y.node AS b FROM m x JOIN m y USING (block_id) WHERE x.node <> y.node),
+reach(a, b) AS (SELECT DISTINCT node, node FROM m UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+g AS (SELECT a AS node, count(DISTINCT n.run) AS runs, min(n.run) AS group_run FROM reach JOIN (SELECT DISTINCT node, run FROM m WHERE run IS NOT NULL) n ON n.node = reach.b GROUP BY a)
+SELECT DISTINCT block_id, group_run FROM m JOIN g USING (node) WHERE runs > 1
+"""
+}
