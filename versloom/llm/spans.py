@@ -38,7 +38,7 @@ COVERS = {
     73: (0, 1, 3, 7, 15, 31, 36, 54, 63),
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
 }
-#: Bytes looked at in one go, anchors of a bucket, texts of an anchor that one task pairs, and digests that are broadcast.
+#: Bytes looked at in one go, anchors of a bucket, texts of an anchor that one task pairs, and nodes that are broadcast.
 SLICE, BUCKET, HOT, SMALL = 3_000_000, 1 << 20, 64, 200_000
 #: Texts of one slice that make an anchor hot, and entries that a bucket holds before its hot anchors are taken out.
 LOCAL, HELD = 8, 4 << 20
@@ -286,12 +286,13 @@ def text_digests(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_digest", digest).withColumn("_node", node).withColumns({"_chars": F.length(text), "_bytes": F.octet_length(text)}).drop(text)
 
 
-def shared_spans(texts: DataFrame, text: str, length: int, total_bytes: int) -> DataFrame:
+def shared_spans(texts: DataFrame, text: str, length: int, total_bytes: int, only: DataFrame | None = None) -> DataFrame:
     """(text_a, text_b, longest, spans_a, spans_b) for every two different texts with ``length`` characters in common.
 
     Texts are named by their MD5 digests, text_a below text_b. ``total_bytes``
     is the size of all texts and sets the number of buckets. Null texts and
     texts shorter than ``length`` match nothing. Equal texts are one text here.
+    With ``only`` (``_digest``) no other texts take part.
     """
     spark = texts.sparkSession
     period, cover, _ = cover_for(length)
@@ -300,6 +301,8 @@ def shared_spans(texts: DataFrame, text: str, length: int, total_bytes: int) ->
     named = texts.where(F.length(text) >= length).select(F.col(text).alias("_text")).withColumn("_digest", F.md5(F.col("_text").cast("binary")))
     # each text once: what is equal within a task is combined before the exchange
     named = named.groupBy("_digest").agg(F.first("_text").alias("_text"))
+    if only is not None:  # the texts lie by their digests already, so only the digests move
+        named = named.join(only, "_digest", "left_semi")
     own = staged(named.withColumn("_node", F.conv(F.substring("_digest", 1, 16), 16, -10).cast("long")), "texts")
     packed = own.select("_node", "_text").mapInArrow(_packed_anchors(length, buckets), _PACKED)
     joined = staged(packed.groupBy("bucket").applyInArrow(_join_bucket(), _PAIRS), "pairs")
@@ -308,6 +311,10 @@ def shared_spans(texts: DataFrame, text: str, length: int, total_bytes: int) ->
     if hot.limit(1).count():
         pairs = pairs.unionByName(_hot_pairs(hot.select("a", "b").distinct()))
     pairs = staged(pairs.distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    # broadcast up to a checked number of nodes of 8 bytes, else joined by shuffle
+    wanted = F.broadcast(wanted) if wanted.limit(SMALL + 1).count() <= SMALL else wanted
+    own = own.join(wanted, "_node", "left_semi")
     sides = [own.select(F.col("_node").alias(s), F.col("_digest").alias(f"k{s}"), F.col("_text").alias(f"x{s}")) for s in ("a", "b")]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     low = F.col("ka") < F.col("kb")
@@ -329,10 +336,7 @@ def _matches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Current blocks, and the matches between their texts; texts that only outdated rows hold are left out before."""
     current, total = _current(spark, folder)
     live = current.where(F.col("_chars") >= LENGTH).select("_digest").distinct()
-    # 32 bytes each: broadcast up to a checked number, else joined by shuffle
-    live = F.broadcast(live) if live.limit(SMALL + 1).count() <= SMALL else live
-    texts = table(spark, folder, "voice_blocks").select("text").withColumn("_digest", F.md5(F.col("text").cast("binary")))
-    return current, staged(shared_spans(texts.join(live, "_digest", "left_semi").select("text"), "text", LENGTH, total), "matches")
+    return current, staged(shared_spans(table(spark, folder, "voice_blocks").select("text"), "text", LENGTH, total, live), "matches")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
