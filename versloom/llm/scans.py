@@ -20,6 +20,7 @@ import random
 import re
 from collections import defaultdict
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from versloom.session import staged
 from versloom.tables import latest_rows, table
 
 #: Lines of a chunk, lines of its margins, and the most titles, lines and words that models are trained on.
-CHUNK, MARGIN, TITLES, LINES, WORDS = 2048, 16, 400, 4000, 4000
+CHUNK, MARGIN, TITLES, LINES, WORDS = 2048, 64, 400, 4000, 4000
 #: How many times more often than the misread form a replacement occurs that counts as sure, for the counts of confusions.
 RATIO = 8
 
@@ -63,22 +64,41 @@ def _number_like(token: str) -> bool:
     return 0 < len(token) <= 5 and all(c in _LIKE for c in token)
 
 
-def header_features(line: str, title: str | None, blank_before: bool, blank_after: bool, chapter_after: bool) -> list[float]:
-    """How much a line looks like the volume's title, with or without a number, and what stands around it."""
+@lru_cache(maxsize=4096)
+def _title_letters(title: str) -> tuple[str, str]:
+    """The letters of a title with and without its article."""
+    wanted = _letters(title)
+    return (wanted, wanted[3:]) if wanted.startswith("THE") else (wanted, "THE" + wanted)
+
+
+def header_likeness(line: str, title: str | None) -> tuple[float, float]:
+    """How much a line looks like the title, at most 1, and whether it does so beside a number.
+
+    Ratios are worked out only where the lengths let them be higher than what is known.
+    """
     tokens = line.split()
     forms = [tokens]
     if len(tokens) > 1:
         forms += [tokens[1:]] * _number_like(tokens[0]) + [tokens[:-1]] * _number_like(tokens[-1])
-    wanted = _letters(title or "")
-    wanted = [wanted, wanted[3:]] if wanted.startswith("THE") else [wanted, "THE" + wanted]
     like = number = 0.0
     for k, form in enumerate(forms):
         text = _letters("".join(form))
-        for w in wanted:
-            if text and w and abs(len(text) - len(w)) <= 6 and (s := SequenceMatcher(None, text, w, autojunk=False).ratio()) > like:
-                like = s
-            if k and text and w and SequenceMatcher(None, text, w, autojunk=False).ratio() > 0.8:
-                number = 1.0
+        for w in _title_letters(title or ""):
+            if not text or not w:
+                continue
+            near, most = abs(len(text) - len(w)) <= 6, 2 * min(len(text), len(w)) / (len(text) + len(w))
+            if not (near and most > like or k and not number and most > 0.8):
+                continue
+            s = SequenceMatcher(None, text, w, autojunk=False).ratio()
+            like = max(like, s) if near else like
+            number = 1.0 if k and s > 0.8 else number
+    return like, number
+
+
+def header_features(line: str, title: str | None, blank_before: bool, blank_after: bool, chapter_after: bool, known: tuple[float, float] | None = None) -> list[float]:
+    """How much a line looks like the volume's title, with or without a number, and what stands around it."""
+    like, number = known or header_likeness(line, title)
+    tokens = line.split()
     alpha = [c for c in line if c.isalpha()]
     upper = sum(c.isupper() for c in alpha) / max(1, len(alpha))
     starts = sum(t[0].isupper() for t in tokens if t[0].isalpha()) / max(1, sum(t[0].isalpha() for t in tokens))
@@ -221,13 +241,13 @@ def classify_lines(lines: DataFrame, facts: DataFrame, models: tuple[BoostedTree
                     px.append(page_features(t))
                     pi.append(i)
                 if title and 0.5 <= len(re.sub(r"[^A-Za-z0-9]", "", t)) / max(1, len(_letters(title))) <= 1.6:
-                    after = following[i] < n and bool(re.match(_FIRST, text[following[i]]))
-                    hx.append(header_features(t, title, i == 0 or blank[i - 1], i + 1 >= n or blank[i + 1], after))
-                    hi.append(i)
+                    known = header_likeness(t, title)
+                    if known[0] > 0.5:
+                        after = following[i] < n and bool(re.match(_FIRST, text[following[i]]))
+                        hx.append(header_features(t, title, i == 0 or blank[i - 1], i + 1 >= n or blank[i + 1], after, known))
+                        hi.append(i)
         if hx:
-            hx = np.array(hx, float)
-            good = np.flatnonzero(hx[:, 0] > 0.5)
-            for i, p, x in zip(np.array(hi)[good], header_model.predict(hx[good]), hx[good], strict=True):
+            for i, p, x in zip(hi, header_model.predict(hx), hx, strict=True):
                 if p > 0.5:
                     kinds[i] = "header"
                 elif x[0] > 0.8 and x[5] and x[6] and x[7]:
@@ -446,11 +466,7 @@ def candidate_pairs(words: DataFrame) -> DataFrame:
 
 
 def corrections(words: DataFrame) -> DataFrame:
-    """(read, meant): words of the vocabulary that are misread, and what they should be.
-
-    A word with a sign in it that is no letter, for which no frequent word is
-    found, gets the letter that the sign is most often put for.
-    """
+    """(read, meant): words of the vocabulary that are misread, and what they should be: the candidate the ranker thinks likeliest, if above one half."""
     from pyspark.sql import Window
 
     pairs = staged(candidate_pairs(words), "candidates")
@@ -471,11 +487,7 @@ def corrections(words: DataFrame) -> DataFrame:
             yield pd.DataFrame({"read": f["read"], "meant": f["meant"], "p": ranker.predict(np.array(x)) if x else np.zeros(0)})
 
     best = scored.mapInPandas(rank, "read string, meant string, p double").groupBy("read").agg(F.max(F.struct("p", "meant")).alias("best"))
-    chosen = best.where("best.p > 0.5").select("read", F.col("best.meant").alias("meant"))
-    letters = "".join({a: b for a, b in reversed(CONFUSIONS) if not a.isascii() or a.isdigit()}[c] for c in "015689ã")
-    odd = words.where("word rlike '^[a-zã]*[015689ã][a-zã]*$' AND length(regexp_replace(word, '[^a-z]', '')) >= 3").select(F.col("word").alias("read"))
-    plain = odd.join(chosen, "read", "left_anti").select("read", F.translate("read", "015689ã", letters).alias("meant"))
-    return chosen.unionByName(plain)
+    return best.where("best.p > 0.5").select("read", F.col("best.meant").alias("meant"))
 
 
 # --- the whole
