@@ -212,7 +212,7 @@ def test_source_is_predicted_as_it_is(spark, study):
 def test_number_of_permutations(spark, study):
     rows = Q.logit_perm_null(spark, study, permutations=30).collect()
     assert sorted(r.perm_id for r in rows) == list(range(31)) and max(rows, key=lambda r: r.score).perm_id == 0
-    assert Q.logit_perm_null.__defaults__ == (10_000,)
+    assert Q.logit_perm_null.__defaults__ == (50,)
 
 
 def test_best_match_without_a_common_word(spark):
@@ -235,11 +235,50 @@ def test_best_match_like_brute_force(spark, tmp_path):
     want = {}
     for r in texts.crossJoin(texts.toDF("other")).where("text <> other").withColumn("s", F.round(near, 9)).where("s >= 0.7").collect():
         want[r.text] = min(want.get(r.text, (0, "")), (-r.s, r.other))
-    got = {r.text: (-r.similarity, r.other) for r in Q2.fuzzy_best_match_all(spark, str(tmp_path)).collect()}
+    got = {r.text: (-r.similarity, r.other) for r in Q2.fuzzy_best_match(spark, str(tmp_path)).collect()}
     assert got == want and {"Kafoze", "Of thé Humblé Kíndréd"} <= set(got)
 
 
 def test_histogram_keeps_the_maximum(spark, tmp_path):
     spark.createDataFrame([(min(float(i), 20.0),) for i in range(30)] + [(None,)], "value double").write.parquet(f"{tmp_path}/events.parquet")
-    got = {r.b: r.n for r in M.histogram_all(spark, str(tmp_path)).collect()}
+    got = {r.b: r.n for r in M.histogram(spark, str(tmp_path)).collect()}
     assert got == {b: 12 if b == 9 else 2 for b in range(10)}
+
+
+def test_study_goes_on(spark, study, tmp_path):
+    """Every job is scored once, the true labels beat their nulls, and a second run does nothing anew."""
+    from versloom import study as W
+
+    docs = spark.read.parquet(f"{study}/documents.parquet").withColumn("lang", F.coalesce("lang", F.lit("?")))
+    variants = W.document_variants(docs)
+    settings = W.Settings(permutations=8, bootstraps=6, penalties=(1.0,), folds=3)
+    scores = W.run_study(spark, variants, settings, str(tmp_path / "scores"), batch=30).orderBy("perm_id").collect()
+    assert [r.perm_id for r in scores] == list(range(len(W.jobs_of(variants, settings))))
+    again = W.run_study(spark, variants, settings, str(tmp_path / "scores"), batch=30)
+    assert again.orderBy("perm_id").collect() == scores
+    rows = W.summary(again, settings).collect()
+    assert {(r.variant, r.test) for r in rows} == {(v, t) for v in ("words", "first_50", "trigrams") for t in ("permuted", "blocked")}
+    assert all(1 / 9 - 1e-9 <= r.p <= r.p_family + 1e-9 <= 1 + 1e-9 and r.p <= r.p_adjusted for r in rows)
+    assert next(r for r in rows if r.variant == "trigrams" and r.test == "permuted").observed == 1.0
+    kinds = {r.detail for r in W.contrasts(again).where("kind = 'classes'").collect()}
+    assert kinds == {"g1 | g2", "g1 | g3", "g2 | g3"}
+    assert "## Tests" in W.study_report(again, settings)
+
+
+def test_redraws_and_shuffles():
+    from versloom import study as W
+
+    y, strata = np.array([0, 0, 1, 1, 2, 2, 2]), np.array([0, 0, 0, 1, 1, 1, 1])
+    rng = np.random.RandomState(0)
+    for _ in range(20):
+        assert (np.bincount(y[W.redrawn(y, rng)]) == np.bincount(y)).all()
+        mixed = W.shuffled(y, strata, rng)
+        assert all(sorted(mixed[strata == s]) == sorted(y[strata == s]) for s in (0, 1))
+
+
+def test_study_from_the_command_line(spark, study, tmp_path):
+    from versloom import study as W
+
+    assert W.main([study, str(tmp_path), "--quick", "--permutations", "3", "--bootstraps", "2"]) == 0
+    assert spark.read.json(f"{tmp_path}/summary").count() == 6
+    assert spark.read.text(f"{tmp_path}/report", wholetext=True).first()[0].startswith("# Study")

@@ -178,17 +178,30 @@ def first_name(text: Column, names: list[str], within: int = 80) -> Column:
 _B, _E = r"(?:^|[^a-z0-9_])", r"(?:$|[^a-z0-9_])"
 DISCOURSE = {
     "speech_open": [
-        ((" said", " saith", " spake", " cried", " answered"), rf"{_B}(?:and|now) [a-z]+ (?:said|saith|spake|cried|answered){_E}"),
+        ((" said", " saith", " spake", " cried", " answered", " proclaimed", " testified"), rf"{_B}(?:and|now) [a-z]+ (?:said|saith|spake|cried|answered|proclaimed|testified){_E}"),
         (("began to ", "did to "), rf"{_B}(?:began|did) to (?:say|teach|preach|speak){_E}"),
         (("these are the words",), rf"{_B}these are the words (?:of|which){_E}"),
+        (("opened his mouth and ",), rf"{_B}opened his mouth and (?:taught|said|spake){_E}"),
+        (("he spake unto them",), rf"{_B}he spake unto them{_E}"),
+        (("i say unto you",), rf"{_B}behold,? i say unto you{_E}"),
         (("saying",), rf"{_B}saying ?[:;,]"),
     ],
     "speech_close": [
-        (("ended the ",), rf"{_B}(?:thus|now) ended the (?:words|sayings) of{_E}"),
+        (("ended the ",), rf"{_B}(?:thus|now) ended the (?:words|sayings|preaching|speech) of{_E}"),
         (("had made an end", "had finished"), rf"{_B}had (?:made an end|finished){_E}"),
+        (("had ended ",), rf"{_B}had ended (?:his|their) words{_E}"),
+        ((" had spoken", " had said", " had finished speaking"), rf"{_B}when [a-z]+ had (?:spoken|said|finished speaking) (?:these )?words{_E}"),
+        ((" had spoken", " had said"), rf"{_B}(?:after [a-z]+|when (?:he|she|they)) had (?:spoken|said){_E}"),
+        (("having said these things",), rf"{_B}having said these things{_E}"),
         (("amen",), rf"{_B}amen{_E}"),
     ],
-    "document": [(("an epistle",), rf"{_B}an epistle{_E}"), (("it is written in the book of",), rf"{_B}it is written in the book of{_E}")],
+    "document": [
+        (("an epistle",), rf"{_B}an epistle{_E}"),
+        (("this is the ",), rf"{_B}this is the (?:epistle|letter|record|decree|proclamation){_E}"),
+        (("the words of", "the words which"), rf"{_B}the words (?:of|which).*wrote{_E}"),
+        (("the copy of the ",), rf"{_B}the copy of the (?:epistle|letter){_E}"),
+        (("it is written in the book of",), rf"{_B}it is written in the book of{_E}"),
+    ],
     "scripture": [(("thus saith the lord",), rf"{_B}thus saith the lord{_E}"), (("according to the words of",), rf"{_B}according to the words of{_E}")],
     "self": [(("i, ",), rf"{_B}i, [a-z]+,"), ((" write ", " wrote "), rf"{_B}i [a-z]+ (?:write|wrote) {_E}")],
     "aside": [(("and thus we see",), rf"{_B}and thus we see{_E}"), (("behold i ", "behold, i "), rf"{_B}behold,? i (?:say|write|speak){_E}")],

@@ -96,6 +96,8 @@ def best_match(left: DataFrame, right: DataFrame, text: str, other: str, least:
         # lengths may differ by the edits allowed; lower case may be longer than what it is made of, never shorter
         met = _rare_pairs(a, b, text, other, least)
     apart = F.lit(True) if equal else F.col(text) != F.col(other)
+    # an edit changes the length by at most one
+    apart = apart & (F.abs(F.length(F.lower(text)) - F.length(F.lower(other))) <= (1 - least) * longer + 1e-9)
     pairs = met.where((F.abs(la - lb) <= length_share * longer) & apart).select(text, other).distinct()
     sim = 1 - F.levenshtein(F.lower(text), F.lower(other)) / longer
     scored = pairs.withColumn("similarity", sim).where(F.col("similarity") >= least)

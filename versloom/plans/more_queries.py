@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from versloom.operators import learn as L, sequences as S
 from versloom.plans.registry import query
 from versloom.plans.segment_queries import _CURRENT, _RUN, _current, _run
-from versloom.plans.study_queries import _UNITS, _delta_sql, _folds, _matrix, _sources, _units
+from versloom.plans.study_queries import _UNITS, _delta_sql, _folds, _matrix, _sources, _units, held_out_halves
 from versloom.session import staged
 from versloom.tables import table
 
@@ -154,9 +154,7 @@ def forest_importance(spark, d):
 
 @query()
 def svm_one_vs_rest(spark, d):
-    e = _vectors(spark, d)
-    out = L.linear_svm(e, "features", "label").transform(e)
-    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("right"))
+    return held_out_halves(spark, d, lambda e: L.linear_svm(e, "features", "label"))
 
 
 @query()
@@ -201,20 +199,8 @@ def stratified_bootstrap(spark, d):
     return i.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
-@query("SELECT CAST(floor((value - lo) / nullif(hi - lo, 0) * 10) AS INTEGER) AS b, count(*) AS n FROM (SELECT value, min(value) OVER () AS lo, max(value) OVER () AS hi FROM events WHERE value IS NOT NULL) WHERE value < hi GROUP BY 1")
-def histogram(spark, d):
-    """Ten equal bins; the maximum, which would be in the last, is left out to keep the SQL short."""
-    from versloom.sources.sinks import histogram as bins
-
-    e = table(spark, d, "events").where("value IS NOT NULL")
-    top = e.agg(F.max("value").alias("top"))
-    h = bins(e, "value", 10).select(F.col("bin").alias("b"), "n")
-    at_top = e.join(F.broadcast(top), F.col("value") == F.col("top")).agg(F.count(F.lit(1)).alias("k"))  # one row
-    return h.crossJoin(at_top).select("b", (F.col("n") - F.when(F.col("b") == 9, F.col("k")).otherwise(0)).alias("n")).where("n > 0")
-
-
 @query("SELECT CAST(least(9, floor(coalesce((value - lo) / nullif(hi - lo, 0), 0) * 10)) AS INTEGER) AS b, count(*) AS n FROM (SELECT value, min(value) OVER () AS lo, max(value) OVER () AS hi FROM events WHERE value IS NOT NULL) GROUP BY 1")
-def histogram_all(spark, d):
+def histogram(spark, d):
     """Ten equal bins of all values, the maximum in the last."""
     from versloom.sources.sinks import histogram as bins
 

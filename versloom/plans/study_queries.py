@@ -321,8 +321,8 @@ def adjusted_rand(spark, d):
 # --- learners that SQL can't express
 
 
-#: Permutations of the null of the grouped regression.
-PERMUTATIONS = 10_000
+#: Permutations of the null of the grouped regression: enough for a look; a study passes its own number.
+PERMUTATIONS = 50
 
 
 def _matrix(spark, d):
@@ -402,16 +402,24 @@ def logit_perm_null(spark, d, permutations=PERMUTATIONS):
     return L.per_task(spark, list(range(permutations + 1)), work, "perm_id long, score double")
 
 
-@query()
-def mllib_logit(spark, d):
-    """MLlib's regression over the embeddings: share of the rows it classifies right, by class."""
+def held_out_halves(spark, d, fit):
+    """Share of the embeddings of each class that a model is right about which was fitted on the other half of the rows, by hash."""
     from pyspark.ml.functions import array_to_vector
 
-    e = table(spark, d, "embeddings").select("label", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    out = L.logistic_model(e, "features", "label").transform(e)
+    e = table(spark, d, "embeddings").select("label", F.pmod(F.xxhash64("vec_id"), F.lit(2)).alias("half"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    e, out = staged(e, "halves"), None
+    for half in (0, 1):
+        part = fit(e.where(F.col("half") != half)).transform(e.where(F.col("half") == half)).select("label", "prediction")
+        out = part if out is None else out.unionByName(part)
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("right"))
 
 
+@query()
+def mllib_logit(spark, d):
+    """MLlib's regression over the embeddings, each row judged by the model that did not see it."""
+    return held_out_halves(spark, d, lambda e: L.logistic_model(e, "features", "label"))
+
+
 @query()
 def kmeans_clusters(spark, d):
     """K-means over the embeddings against their labels."""
@@ -421,3 +429,27 @@ def kmeans_clusters(spark, d):
     e = table(spark, d, "embeddings").select("label", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     k = KMeans(k=10, seed=42).fit(e).transform(e)
     return P.adjusted_rand(k, "label", "prediction")
+
+
+def _study(spark, d):
+    from versloom import study
+
+    docs = table(spark, d, "documents").select("source", "genre", _lang("lang").alias("lang"), "text")
+    settings = study.Settings(permutations=10, bootstraps=10, penalties=(0.1, 1.0, 10.0), folds=3)
+    return staged(study.run_study(spark, study.document_variants(docs), settings), "study"), settings
+
+
+@query()
+def study_tests(spark, d):
+    """A small study over all documents: three variants against shuffled labels, with maxT, false discovery and a refitted bootstrap."""
+    from versloom.study import summary
+
+    return summary(*_study(spark, d))
+
+
+@query()
+def study_contrasts(spark, d):
+    """What the study's score becomes without each source, by penalty, for pairs of classes and without each class."""
+    from versloom.study import contrasts
+
+    return contrasts(_study(spark, d)[0])
