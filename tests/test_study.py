@@ -212,7 +212,7 @@ def test_source_is_predicted_as_it_is(spark, study):
 def test_number_of_permutations(spark, study):
     rows = Q.logit_perm_null(spark, study, permutations=30).collect()
     assert sorted(r.perm_id for r in rows) == list(range(31)) and max(rows, key=lambda r: r.score).perm_id == 0
-    assert Q.logit_perm_null.__defaults__ == (50,)
+    assert Q.logit_perm_null.__defaults__ == (24,)
 
 
 def test_best_match_without_a_common_word(spark):

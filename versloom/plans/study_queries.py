@@ -322,7 +322,7 @@ def adjusted_rand(spark, d):
 
 
 #: Permutations of the null of the grouped regression: enough for a look; a study passes its own number.
-PERMUTATIONS = 50
+PERMUTATIONS = 24
 
 
 def _matrix(spark, d):
@@ -431,12 +431,13 @@ def kmeans_clusters(spark, d):
     return P.adjusted_rand(k, "label", "prediction")
 
 
-def _study(spark, d):
+def _study(spark, d, kinds, names=("words", "first_50", "trigrams")):
     from versloom import study
 
     docs = table(spark, d, "documents").select("source", "genre", _lang("lang").alias("lang"), "text")
-    settings = study.Settings(permutations=10, bootstraps=10, penalties=(0.1, 1.0, 10.0), folds=3)
-    return staged(study.run_study(spark, study.document_variants(docs), settings), "study"), settings
+    settings = study.Settings(permutations=8, bootstraps=4, penalties=(0.1, 1.0, 10.0), folds=3)
+    variants = {n: v for n, v in study.document_variants(docs).items() if n in names}
+    return staged(study.run_study(spark, variants, settings, kinds=("observed", *kinds)), "study"), settings
 
 
 @query()
@@ -444,12 +445,12 @@ def study_tests(spark, d):
     """A small study over all documents: three variants against shuffled labels, with maxT, false discovery and a refitted bootstrap."""
     from versloom.study import summary
 
-    return summary(*_study(spark, d))
+    return summary(*_study(spark, d, ("permuted", "blocked", "bootstrap")))
 
 
 @query()
 def study_contrasts(spark, d):
-    """What the study's score becomes without each source, by penalty, for pairs of classes and without each class."""
+    """What the score of the function words becomes without each source, by penalty, for pairs of classes and without each class."""
     from versloom.study import contrasts
 
-    return contrasts(_study(spark, d)[0])
+    return contrasts(_study(spark, d, ("without group", "penalty", "classes"), ("words",))[0])

@@ -41,6 +41,10 @@ class Settings:
 QUICK = Settings(permutations=20, bootstraps=20, penalties=(0.1, 1.0, 10.0), folds=3)
 
 
+#: What is fitted: the study itself, its nulls and its bootstrap, and what it is contrasted with.
+KINDS = ("observed", "permuted", "blocked", "bootstrap", "without group", "penalty", "classes")
+
+
 class Variant(NamedTuple):
     """One matrix of units by features, sorted by unit; labels and groups as numbers."""
 
@@ -134,14 +138,14 @@ def jobs_of(variants: dict[str, Variant], settings: Settings) -> list[tuple[int,
 _SCORES = "perm_id long, variant string, kind string, detail string, replicate int, score double"
 
 
-def run_study(spark: SparkSession, variants: dict[str, Variant], settings: Settings = QUICK, folder: str | None = None, batch: int = 500) -> DataFrame:
-    """Scores (perm_id, variant, kind, detail, replicate, score) of all jobs.
+def run_study(spark: SparkSession, variants: dict[str, Variant], settings: Settings = QUICK, folder: str | None = None, batch: int = 500, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Scores (perm_id, variant, kind, detail, replicate, score) of all jobs of the ``kinds`` asked for.
 
     With ``folder`` batches of jobs are written there and those already there
     are not done again.
     """
     shared = spark.sparkContext.broadcast(variants)
-    table = spark.createDataFrame(jobs_of(variants, settings), _SCORES.rsplit(",", 1)[0])
+    table = spark.createDataFrame([job for job in jobs_of(variants, settings) if job[2] in kinds], _SCORES.rsplit(",", 1)[0])
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def work(frames):
