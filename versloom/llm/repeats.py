@@ -251,7 +251,7 @@ def risk_controlled_cutoffs(holdout: DataFrame, stratum: str, score: str, good:
     step = F.least(F.lit(grid), F.floor(F.col(score) * grid + 1e-9)).cast("int")
     known = holdout.where(F.col(stratum).isNotNull() & F.col(score).isNotNull() & F.col(good).isNotNull())
     rows = known.groupBy(F.col(stratum).alias("stratum"), step.alias("step")).agg(F.count_if(good).alias("n")).collect()
-    by: dict = {EVERY: {}}
+    by: dict = {EVERY: {}} if rows else {}
     for r in rows:
         for s in (r["stratum"], EVERY):
             counts = by.setdefault(s, {})
