@@ -120,3 +120,27 @@ def test_scans_are_pruned(name, spark, folder):
 
     plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "embedding" not in plan and "props" not in plan
+
+
+def test_scratch_deletes_what_was_staged(spark):
+    from pathlib import Path
+
+    from versloom.session import _STAGED, scratch, staged
+
+    kept = staged(spark.range(3).toDF("id"), "kept")
+    path = _STAGED[-1]
+    with scratch(spark):
+        assert staged(spark.range(5).toDF("id"), "gone").count() == 5
+        inner = _STAGED[-1]
+        assert inner != path
+    assert kept.count() == 3 and _STAGED[-1] == path and not Path(inner.removeprefix("file://")).exists()
+
+
+def test_corrections_by_id(spark):
+    from versloom.operators import joins as J
+
+    df = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (2, "b", 1), (3, None, 1), (None, "z", 1)], "id int, v string, fixed int")
+    fixes = spark.createDataFrame([(1, "a"), (2, "x"), (2, "w"), (3, "n"), (9, "q"), (None, "no")], "id int, v string")
+    got = sorted((r.id or 0, r.v, r.fixed) for r in J.corrected(df, "id", fixes, ["v"]).collect())
+    assert got == [(0, "z", False), (1, "a", False), (2, "x", True), (2, "x", True), (3, "n", True)]
+    assert J.corrected(df.limit(0), "id", fixes, ["v"]).count() == 0 and J.corrected(df, "id", fixes.limit(0), ["v"]).where("fixed").count() == 0

@@ -129,3 +129,20 @@ def set_relation(a: DataFrame, b: DataFrame) -> DataFrame:
 def with_sampled(df: DataFrame, sampled: DataFrame, key: str) -> DataFrame:
     """Rows whose key was drawn, once each however often it was drawn."""
     return df.join(sampled.select(key), key, "left_semi")
+
+
+def corrected(df: DataFrame, key: str, fixes: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with the values that ``fixes`` (key, columns) has for a row in place of its own, and ``fixed``: whether a value changed.
+
+    A null in ``fixes`` changes nothing; of several fixes of a key the greatest
+    values count. Fixes of unknown keys are left out. Keys are compared as they
+    are, and rows with a null key stay as they are. A column ``fixed`` of
+    ``df`` is replaced.
+    """
+    new = fixes.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(c).alias(f"_new_{c}") for c in columns])
+    both = df.join(_small(new), key, "left")
+    changed = F.lit(False)
+    for c in columns:
+        changed = changed | (F.col(f"_new_{c}").isNotNull() & ~F.col(f"_new_{c}").eqNullSafe(F.col(c)))
+    out = both.withColumn("fixed", changed)
+    return out.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).drop(*[f"_new_{c}" for c in columns])

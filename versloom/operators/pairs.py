@@ -75,15 +75,18 @@ def sampled_pairs(df: DataFrame, item: str, label: str, vector: str, n: int, sam
     return kept.select("a", "b", (1 - dot).alias("distance"))
 
 
-def pseudo_f(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """(n, classes, within, total, f): PERMANOVA's statistic for squared Euclidean distances, from sums of the classes."""
-    x = df.select(label, F.posexplode(vector).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    per = x.groupBy(label, "i").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count(F.lit(1)).alias("n"))
-    within = per.agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("within"), F.count_distinct(label).alias("classes"))
-    total = per.groupBy("i").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n")).agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("total"), F.max("n").alias("n"))
-    j = within.crossJoin(total)  # one row each
+def pseudo_f(df: DataFrame, label: str, vector: str, keys: list[str] | None = None) -> DataFrame:
+    """([keys,] n, classes, within, total, f): PERMANOVA's statistic for squared Euclidean distances, from sums of the classes; for each of ``keys`` if given."""
+    keys = keys or []
+    x = df.select(*keys, label, F.posexplode(vector).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    per = x.groupBy(*keys, label, "i").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count(F.lit(1)).alias("n"))
+    apart = F.col("q") - F.col("s") * F.col("s") / F.col("n")
+    within = per.groupBy(*keys).agg(F.sum(apart).alias("within"), F.count_distinct(label).alias("classes"))
+    whole = per.groupBy(*keys, "i").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
+    total = whole.groupBy(*keys).agg(F.sum(apart).alias("total"), F.max("n").alias("n"))
+    j = within.join(total, keys) if keys else within.crossJoin(total)  # one row each
     f = (F.col("total") - F.col("within")) / (F.col("classes") - 1) / (F.col("within") / (F.col("n") - F.col("classes")))
-    return j.select("n", "classes", "within", "total", f.alias("f"))
+    return j.select(*keys, "n", "classes", "within", "total", f.alias("f"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

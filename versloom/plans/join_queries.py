@@ -166,3 +166,13 @@ def corpus_rollup(spark, d):
 def sampled_keys(spark, d):
     """Drawn keys collapse: a work comes out once however many blocks name it."""
     return J.with_sampled(table(spark, d, "works_manifest").select("filename", "title"), table(spark, d, "voice_blocks"), "filename")
+
+
+@query(f"""
+WITH b AS ({_CURRENT}), f AS (SELECT block_id, 'doubtful' AS quote_status FROM block_scores GROUP BY block_id HAVING max(score) < 0.5)
+SELECT block_id, coalesce(f.quote_status, b.quote_status) AS quote_status, f.quote_status IS NOT NULL AND f.quote_status IS DISTINCT FROM b.quote_status AS fixed FROM b LEFT JOIN f USING (block_id)
+""")
+def corrected_blocks(spark, d):
+    """Blocks with a list of corrections by id: those never scored a half or more become doubtful."""
+    low = table(spark, d, "block_scores").groupBy("block_id").agg(F.max("score").alias("s")).where("s < 0.5").select("block_id", F.lit("doubtful").alias("quote_status"))
+    return J.corrected(_current(spark, d, ["quote_status"]), "block_id", low, ["quote_status"]).select("block_id", "quote_status", "fixed")

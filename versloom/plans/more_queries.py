@@ -205,3 +205,22 @@ def histogram(spark, d):
     from versloom.sources.sinks import histogram as bins
 
     return bins(table(spark, d, "events").where("value IS NOT NULL"), "value", 10).select(F.col("bin").alias("b"), "n").where("n > 0")
+
+
+@query("""
+WITH u AS (SELECT vec_id AS unit, vec_id % 5 AS stratum, label FROM embeddings), r AS (SELECT perm_id, unit, stratum, label, row_number() OVER (PARTITION BY perm_id, stratum ORDER BY unit) AS bn, row_number() OVER (PARTITION BY perm_id, stratum ORDER BY md5('42|' || perm_id || '|' || unit), unit) AS bh FROM u, (SELECT unnest(range(0, 20)) AS perm_id)),
+g AS (SELECT a.perm_id, a.unit, c.label FROM r a JOIN r c ON a.perm_id = c.perm_id AND a.stratum = c.stratum AND a.bh = c.bn UNION ALL SELECT -1, unit, label FROM u),
+x AS (SELECT vec_id AS unit, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), p AS (SELECT perm_id, label, i, sum(v) AS s, sum(v * v) AS q, count(*) AS n FROM g JOIN x USING (unit) GROUP BY ALL),
+w AS (SELECT perm_id, sum(q - s * s / n) AS within, count(DISTINCT label) AS k FROM p GROUP BY perm_id), t AS (SELECT perm_id, sum(q - s * s / n) AS total, max(n) AS n FROM (SELECT perm_id, i, sum(s) AS s, sum(q) AS q, sum(n) AS n FROM p GROUP BY ALL) GROUP BY perm_id),
+f AS (SELECT perm_id, round((total - within) / (k - 1) / (within / (n - k)), 6) AS f FROM w JOIN t USING (perm_id))
+SELECT o.f AS observed, count(*) AS n, count(*) FILTER (f.f >= o.f) AS exceed, round((count(*) FILTER (f.f >= o.f) + 1) / (count(*) + 1), 9) AS p FROM f, (SELECT f FROM f WHERE perm_id = -1) o WHERE f.perm_id >= 0 GROUP BY o.f
+""")
+def permanova_p(spark, d):
+    """PERMANOVA with labels shuffled within strata: the observed statistic against that of 20 shuffles."""
+    from versloom.operators import infer as I, pairs as P
+
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), (F.col("vec_id") % 5).alias("stratum"), "label", "embedding")
+    perms = I.permuted_labels(e.select("unit", "label", "stratum"), "unit", "label", 20, "stratum").select("perm_id", "unit", "label")
+    null = P.pseudo_f(perms.join(e.select("unit", "embedding"), "unit"), "label", "embedding", ["perm_id"]).select("perm_id", F.round("f", 6).alias("f"))
+    seen = P.pseudo_f(e, "label", "embedding").select(F.round("f", 6).alias("f"))
+    return I.exceedance(null, seen, "f", []).select("observed", "n", "exceed", F.round("p", 9).alias("p"))

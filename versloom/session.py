@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of the tables staged by this process.
+_STAGED: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables staged within the block when it ends: write or collect results inside it.
+
+        with scratch(spark):
+            operator(df).write.parquet(place)
+    """
+    first = len(_STAGED)
+    try:
+        yield
+    finally:
+        while len(_STAGED) > first:
+            _delete(spark, _STAGED.pop())
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder; keeps partitions and their order."""
     shared_dir(df.sparkSession)
@@ -63,6 +89,7 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    _STAGED.append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -74,7 +101,8 @@ def sweep(spark: SparkSession, older_than_hours: float = 24.0) -> int:
     """Deletes staged tables and stream positions older than that from the shared folder; how many were deleted.
 
     Staged tables can't be deleted by the operators that write them: the
-    DataFrames they return are read later. Call this between jobs.
+    DataFrames they return are read later. Call this between jobs, or run a job
+    within :func:`scratch`.
     """
     import time
 
