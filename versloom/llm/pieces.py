@@ -161,9 +161,10 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = p6_pieces(spark, folder)
-    kind = F.when(F.col("longest_stretch") > 1200, "unbroken").otherwise("plain")
-    return pieces.where("piece_no = 0").select("block_id", kind.alias("kind"))
+    """Blocks that had to be cut, by how: a stretch above the limit can't lie in one piece, so only a block with a hard cut can be unbroken; the stretch is then checked."""
+    blocks = p6_pieces(spark, folder).groupBy("block_id").agg(F.count_if(F.col("cut") == "hard").alias("hard"), F.max("longest_stretch").alias("longest"))
+    kind = F.when((F.col("hard") > 0) & (F.col("longest") > 1200), "unbroken").otherwise("plain")
+    return blocks.select("block_id", kind.alias("kind"))
 
 
 def p6_all_blocks(spark: SparkSession, folder: str) -> DataFrame:
