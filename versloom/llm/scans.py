@@ -416,18 +416,20 @@ def train_ranker(words: dict[str, tuple[int, float]], seen: dict[tuple[str, str]
             if read in words:
                 continue
             # one sign in many is misread, and in one of several ways
-            n_read = max(1, int(n / 2 ** (3 + 7 * rng.random())))
+            n_read = max(1, int(n / 2 ** (4 + 6 * rng.random())))
             found = candidates(read, n_read)
             own = rng.choice([0.0, capital, float(rng.random() < capital)]) if capital < 0.9 else capital  # a few occurrences show their share badly
             for m, p, q in found:
                 x.append(_pair_features(read, m, p, q, n_read, words[m][0], rng.randint(1, n_read), own, words[m][1], seen.get((p, q), 0), len(found)))
                 y.append(float(m == w))
-        # a word as often as it occurs, and as if it were rare
-        for n_read in (n, rng.choice([1, 1, 2, 3, 5, 8])):
-            found = [c for c in candidates(w, n_read) if c[0] != w]
+        # a word as often as it occurs, as if it were rare, and nearly as often as what it looks like
+        for n_read in (n, rng.choice([1, 1, 2, 3, 5, 8]), None):
+            found = [c for c in candidates(w, n_read or 1) if c[0] != w]
             for m, p, q in found:
-                x.append(_pair_features(w, m, p, q, n_read, words[m][0], rng.randint(1, n_read), capital, words[m][1], seen.get((p, q), 0), len(found)))
-                y.append(0.0)
+                k = n_read or int(words[m][0] / 2 ** (3 * rng.random()))
+                if n_read or k >= 8:
+                    x.append(_pair_features(w, m, p, q, k, words[m][0], rng.randint(1, k), capital, words[m][1], seen.get((p, q), 0), len(found)))
+                    y.append(0.0)
     if not any(y):
         x, y = [[0.0] * len(_FEATURES)] * 2, [0.0, 0.0]
     return BoostedTrees(rounds=60, depth=4).fit(x, y)
