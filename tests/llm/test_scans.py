@@ -114,3 +114,12 @@ def test_rare_words_have_candidates(spark):
     df = spark.createDataFrame([(w, n, 1, 0.0) for w, n in words], "word string, n long, volumes long, capital double")
     got = {(r.read, r.meant) for r in S.candidate_pairs(df).collect()}
     assert got == {("biglsore", "bigisore"), ("pugeplbi", "pugepibi"), ("hoase", "house")}
+
+
+def test_words_alike_without_a_confusion(spark):
+    """Words that share a rare bigram but are more than a confusion apart: a batch without any candidate gives no rows, not an error."""
+    df = spark.createDataFrame([("abc", 5, 1, 0.0), ("axy", 1, 1, 0.0)], "word string, n long, volumes long, capital double")
+    assert S.candidate_pairs(df).collect() == []
+    lines = spark.createDataFrame([("d", n, line, None) for n, line in enumerate(("abc abc", "abc axy", "abc abc"), 1)], "doc_id string, line_no int, line string, scanned_at timestamp")
+    repair = S.Repair(lines)
+    assert repair.found().collect() == [] and [r.text for r in repair.paragraphs().collect()] == ["abc abc abc axy abc abc"]

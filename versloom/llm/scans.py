@@ -463,7 +463,9 @@ def candidate_pairs(words: DataFrame) -> DataFrame:
             ab = [one_confusion(r, m) for r, m in zip(f["read"], f["meant"], strict=True)]
             ok = np.array([x is not None for x in ab], bool)
             f = f[ok].copy()
-            f["a"], f["b"] = [x[0] for x in ab if x], [x[1] for x in ab if x]
+            # as text even where none is left: an empty list would be a column of numbers, which Arrow can't turn into text
+            for k, side in enumerate("ab"):
+                f[side] = pd.Series([x[k] for x in ab if x], f.index, object)
             yield f
 
     return pairs.mapInPandas(differ, T.StructType([*pairs.schema.fields, T.StructField("a", T.StringType()), T.StructField("b", T.StringType())]))
