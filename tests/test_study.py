@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -52,6 +53,43 @@ def test_permutations_keep_strata(spark):
     assert I.distinct_permutations(I.permuted_labels(u.limit(3), "unit", "label", 50), "unit", "label", 100).select("perm_id").distinct().count() <= 6
 
 
+def test_kept_columns_stay_with_their_unit(spark):
+    rows = [(f"u{i:02d}", "xyz"[i % 3], i % 2, float(i)) for i in range(20)]
+    u = spark.createDataFrame(rows, "unit string, label string, s int, v double")
+    for stratum in (None, "s"):
+        want = set()
+        for k in range(5):
+            for t in {r[2] for r in rows} if stratum else {None}:
+                own = [r for r in rows if t in (None, r[2])]
+                by_hash = sorted(own, key=lambda r: hashlib.md5(f"42|{k}|{r[0]}".encode()).hexdigest())
+                want |= {(k, b[0], a[1], b[3]) for a, b in zip(own, by_hash, strict=True)}
+        p = I.permuted_labels(u, "unit", "label", 5, stratum, keep=("v",))
+        assert {(r.perm_id, r.unit, r.label, r.v) for r in p.collect()} == want
+
+
+def rows_broadcast(df):
+    """The most rows that a broadcast of the finished plan collected on the driver."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name, kids = p.nodeName(), p.children()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(p.plan())
+        elif name.startswith("BroadcastExchange"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return most
+
+
+@pytest.mark.parametrize("name", ["blocked_perm_pvalue"])
+def test_replicates_are_not_broadcast(name, spark, folder):
+    """One row of results a replicate and group may reach the driver, but not the replicates of the units."""
+    assert rows_broadcast(getattr(Q, name)(spark, folder)) <= 150
+
+
 def test_bootstrap_and_interval(spark):
     u = spark.range(30).withColumnRenamed("id", "unit")
     b = I.bootstrap_draws(u, "unit", 40)

@@ -22,19 +22,26 @@ def replicates(df: DataFrame, n: int, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def permuted_labels(units: DataFrame, unit: str, label: str, n: int, stratum: str | None = None, seed: int = 42) -> DataFrame:
-    """(perm_id, unit, label[, stratum]): labels shuffled over the units, within strata if one is given.
+def permuted_labels(units: DataFrame, unit: str, label: str, n: int, stratum: str | None = None, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(perm_id[, stratum], unit, label[, keep]): labels shuffled over the units, within strata if one is given.
 
     The label of the unit at a place by name goes to the unit at the same place
     by hash; label counts stay in every stratum, and a stratum of one is fixed.
+    ``keep`` names other columns that stay with their unit, so that no join with
+    the units is needed after. Places by name are the same in every permutation
+    and exist once. The join is a merge: Spark estimates exploded rows as if
+    there was one permutation and would collect all of them on the driver.
     """
-    part = ["perm_id"] + ([stratum] if stratum else [])
-    r = replicates(units.select(unit, label, *([stratum] if stratum else [])), n, "perm_id")
-    w = Window.partitionBy(*part)
-    r = r.withColumns({"_by_name": F.row_number().over(w.orderBy(unit)), "_by_hash": F.row_number().over(w.orderBy(_order(seed, F.col("perm_id"), F.col(unit)), unit))})
-    labels = r.select(*part, F.col("_by_name").alias("_place"), label)
-    places = r.select(*part, F.col("_by_hash").alias("_place"), unit)
-    return places.join(labels, [*part, "_place"]).select(*part, unit, label)
+    within = [stratum] if stratum else []
+    base = units.select(unit, label, *within, *keep)
+    if stratum:
+        by_name = base.withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy(unit)) - 1)
+    else:  # places in a global order, without a window over everything
+        by_name = with_running_total(base.select(unit, label).withColumn("_one", F.lit(1)), [F.col(unit)], "_one", "_place")
+    labels = by_name.select(*within, "_place", label)
+    w = Window.partitionBy("perm_id", *within).orderBy(_order(seed, F.col("perm_id"), F.col(unit)), unit)
+    places = replicates(base.drop(label), n, "perm_id").withColumn("_place", F.row_number().over(w) - 1)
+    return places.join(labels.hint("merge"), [*within, "_place"]).select("perm_id", *within, unit, label, *keep)
 
 
 def distinct_permutations(perms: DataFrame, unit: str, label: str, most: int) -> DataFrame:

@@ -159,8 +159,8 @@ SELECT observed, count(*) AS n, count(*) FILTER (gap >= observed) AS exceed, rou
 
 def _pvalue(spark, d, stratum):
     u = _scored_units(spark, d)
-    p = I.permuted_labels(u, "unit", "label", _B, stratum)
-    null = p.join(u.select("unit", "score"), "unit").groupBy("perm_id").agg(F.round(_gap(), 9).alias("gap"))
+    p = I.permuted_labels(u, "unit", "label", _B, stratum, keep=("score",))
+    null = p.groupBy("perm_id").agg(F.round(_gap(), 9).alias("gap"))
     e = I.exceedance(null, u.agg(F.round(_gap(), 9).alias("gap")), "gap", [])
     return e.select("observed", "n", "exceed", F.round("p", 9).alias("p"), *[F.round(c, 7).alias(c) for c in ("null_mean", "null_sd", "low", "high")])
 
