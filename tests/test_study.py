@@ -84,7 +84,7 @@ def rows_broadcast(df):
     return most
 
 
-@pytest.mark.parametrize("name", ["blocked_perm_pvalue"])
+@pytest.mark.parametrize("name", ["blocked_perm_pvalue", "bootstrap_ci_hash"])
 def test_replicates_are_not_broadcast(name, spark, folder):
     """One row of results a replicate and group may reach the driver, but not the replicates of the units."""
     assert rows_broadcast(getattr(Q, name)(spark, folder)) <= 150
@@ -94,6 +94,10 @@ def test_bootstrap_and_interval(spark):
     u = spark.range(30).withColumnRenamed("id", "unit")
     b = I.bootstrap_draws(u, "unit", 40)
     assert b.groupBy("boot_id").count().where("count = 30").count() == 40
+    rows = [("b", 1.0), (None, 2.0), ("a", 3.0)]
+    k = I.bootstrap_draws(spark.createDataFrame(rows, "unit string, v double"), "unit", 20, keep=("v",))
+    pick = lambda b, d: [("a", 3.0), ("b", 1.0), (None, 2.0)][int(hashlib.md5(f"42|{b}|{d}".encode()).hexdigest()[:12], 16) % 3]
+    assert {(r.boot_id, r.draw, r.unit, r.v) for r in k.collect()} == {(i, d, *pick(i, d)) for i in range(20) for d in range(3)}
     v = spark.createDataFrame([(float(i),) for i in range(101)], "s double")
     i = I.interval(v, [], "s").first()
     assert (round(i.low, 9), round(i.high, 9), i.mean) == (2.5, 97.5, 50.0)

@@ -77,18 +77,23 @@ def max_statistic(null: DataFrame, observed: DataFrame, variant: str, score: str
     )
 
 
-def bootstrap_draws(units: DataFrame, unit: str, n: int, part: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """(boot_id, part, draw, unit): as many draws with replacement as units, within each part."""
+def bootstrap_draws(units: DataFrame, unit: str, n: int, part: list[str] | None = None, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(boot_id, part, draw, unit[, keep]): as many draws with replacement as units, within each part.
+
+    ``keep`` names other columns that come with the drawn unit. A unit without a
+    name comes last. The join is a merge, as in :func:`permuted_labels`.
+    """
     part = part or []
+    base = units.select(unit, *part, *keep)
     if part:
         w = Window.partitionBy(*part)
-        placed = units.select(unit, *part).withColumns({"_place": F.row_number().over(w.orderBy(unit)) - 1, "_n": F.count(F.lit(1)).over(w)})
+        placed = base.withColumns({"_place": F.row_number().over(w.orderBy(F.asc_nulls_last(unit))) - 1, "_n": F.count(F.lit(1)).over(w)})
     else:  # places in a global order, without a window over everything
-        placed = with_running_total(units.select(unit).withColumn("_one", F.lit(1)), [F.col(unit)], "_one", "_place").withColumn("_n", F.lit(units.count())).drop("_one")
-    r = replicates(placed, n, "boot_id")
+        placed = with_running_total(base.withColumn("_one", F.lit(1)), [F.asc_nulls_last(unit)], "_one", "_place").withColumn("_n", F.lit(units.count())).drop("_one")
+    r = replicates(placed.select(*part, "_place", "_n"), n, "boot_id")
     pick = F.pmod(F.conv(F.substring(_order(seed, F.col("boot_id"), *[F.col(p) for p in part], F.col("_place")), 1, 12), 16, 10).cast("long"), F.col("_n"))
     drawn = r.select("boot_id", *part, F.col("_place").alias("draw"), pick.alias("_place"))
-    return drawn.join(placed.select(*part, "_place", unit), [*part, "_place"]).select("boot_id", *part, "draw", unit)
+    return drawn.join(placed.drop("_n").hint("merge"), [*part, "_place"]).select("boot_id", *part, "draw", unit, *keep)
 
 
 def interval(df: DataFrame, keys: list[str], score: str, level: float = 0.95, expected: int | None = None, least: float = 0.95) -> DataFrame:

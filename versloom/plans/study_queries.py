@@ -202,7 +202,7 @@ SELECT count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0
 """)
 def bootstrap_ci_hash(spark, d):
     u = staged(_users(spark, d), "users")
-    b = I.bootstrap_draws(u, "unit", 100).join(u, "unit").groupBy("boot_id").agg(F.avg("v").alias("score"))
+    b = I.bootstrap_draws(u, "unit", 100, keep=("v",)).groupBy("boot_id").agg(F.avg("v").alias("score"))
     i = I.interval(b, [], "score", expected=100)
     return i.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
