@@ -147,9 +147,9 @@ def perm_table_hash(spark, d):
 
 @query(f"WITH {_RUNSCORE}, {_perm_sql(True)} SELECT perm_id, count(*) AS n, count(*) FILTER (perms.label = u.label) AS unmoved FROM perms JOIN u USING (unit) GROUP BY perm_id", ints=("perm_id",))
 def blocked_perm_table(spark, d):
-    u = _scored_units(spark, d)
-    p = I.permuted_labels(u, "unit", "label", _B, "run").withColumnRenamed("label", "new")
-    return p.join(u.select("unit", "label"), "unit").groupBy("perm_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("new") == F.col("label")).alias("unmoved"))
+    u = _scored_units(spark, d).withColumn("own", F.col("label"))
+    p = I.permuted_labels(u, "unit", "label", _B, "run", keep=("own",))
+    return p.groupBy("perm_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("own")).alias("unmoved"))
 
 
 def _pvalue_sql(stratum):
