@@ -181,10 +181,10 @@ w AS (SELECT perm_id, max(gap) AS top FROM nul WHERE gap IS NOT NULL GROUP BY pe
 SELECT variant, observed, count(*) AS n, round((count(*) FILTER (gap >= observed) + 1) / (count(*) + 1), 9) AS p_raw, round((count(*) FILTER (top >= observed) + 1) / (count(*) + 1), 9) AS p_adjusted FROM nul JOIN w USING (perm_id) JOIN o USING (variant) WHERE gap IS NOT NULL GROUP BY variant, observed
 """)
 def maxt_pvalue(spark, d):
-    u = _scored_units(spark, d)
-    p = I.permuted_labels(u, "unit", "label", _B)
-    null = p.join(u.select("unit", "score", F.col("target_size").alias("variant")), "unit").groupBy("perm_id", "variant").agg(F.round(_gap(), 9).alias("gap"))
-    o = u.groupBy(F.col("target_size").alias("variant")).agg(F.round(_gap(), 9).alias("gap"))
+    u = _scored_units(spark, d).withColumnRenamed("target_size", "variant")
+    p = I.permuted_labels(u, "unit", "label", _B, keep=("score", "variant"))
+    null = p.groupBy("perm_id", "variant").agg(F.round(_gap(), 9).alias("gap"))
+    o = u.groupBy("variant").agg(F.round(_gap(), 9).alias("gap"))
     return I.max_statistic(null, o, "variant", "gap").select("variant", "observed", "n", F.round("p_raw", 9).alias("p_raw"), F.round("p_adjusted", 9).alias("p_adjusted"))
 
 
