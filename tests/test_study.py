@@ -84,7 +84,7 @@ def rows_broadcast(df):
     return most
 
 
-@pytest.mark.parametrize("name", ["blocked_perm_pvalue", "bootstrap_ci_hash", "perm_table_hash", "blocked_perm_table", "maxt_pvalue"])
+@pytest.mark.parametrize("name", ["blocked_perm_pvalue", "bootstrap_ci_hash", "perm_table_hash", "blocked_perm_table", "maxt_pvalue", "perm_pvalue"])
 def test_replicates_are_not_broadcast(name, spark, folder):
     """One row of results a replicate and group may reach the driver, but not the replicates of the units."""
     assert rows_broadcast(getattr(Q, name)(spark, folder)) <= 150
